@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fiscalith.plans import chunking, ingest, linking, listing, policy, quality, quality_sql, registry, scalars, trends  # noqa: F401
+from fiscalith.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from fiscalith.plans import quality, quality_sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {**quality.QUERIES}
-ORACLES: dict[str, str] = {**quality_sql.ORACLES}
+QUERIES: dict[str, Query] = {**quality.QUERIES, **registry.QUERIES}
+ORACLES: dict[str, str] = {**quality_sql.ORACLES, **registry.ORACLES}
