@@ -113,6 +113,8 @@ def split_records(df: DataFrame, id_column: str, text_column: str, spec: RecordS
     bounded by a batch. Null and empty texts have no fields (``columns``); repeated records are judged one by one.
     Only the two named columns are read, so others may have any name.
     """
+    if id_column in ("reason", "record"):
+        raise ValueError(f"rename {id_column}: the result has a column of that name")
     schema = T.StructType(
         [
             T.StructField(id_column, df.schema[id_column].dataType),
