@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fiscalith.llm.lookalike import look
-from fiscalith.session import row_bound_holds
+from fiscalith.session import cut_lineage, row_bound_holds
 
 #: Words of a window.
 WINDOW = 10
@@ -40,41 +40,81 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(int(_BASE), WINDOW - 1 - j, 1 << 64) for j in range(WINDOW)], dtype=np.uint64)
 
 
-def _code(word: str, known: dict[str, int]) -> int:
-    code = known.get(word)
-    if code is None:
-        if len(known) > 400_000:
-            known.clear()
-        known[word] = code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return code
+class Codes(dict):
+    """What stands for a word in a template, as a number; the memory is emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        shown = placeholder(word) or word
+        self[word] = code = xxhash.xxh3_64_intdigest(shown.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def placeholder(word: str) -> str | None:
+    """The type of a lower-case word that is a number or a unit."""
+    if word[0].isdigit() or word in _NUMBER_WORDS:
+        return NUMBER
+    return UNIT if word in _UNITS else None
+
+
+_NAME_CODE = xxhash.xxh3_64_intdigest(NAME.encode())
+
+
+def name_flags(text: str, lowered: list[str]) -> list[bool]:
+    """Which words are names: capitalised, within a sentence, and neither numbers nor units; none in a text all in capitals."""
+    found = list(_WORD.finditer(text))
+    if len(found) != len(lowered) or text.isupper():
+        return [False] * len(lowered)
+    flags, end = [], 0
+    for m, low in zip(found, lowered):
+        inside = m.group()[0].isupper() and end and not _SENTENCE_END.search(text[max(0, end - 1) : m.start()])
+        flags.append(bool(inside) and placeholder(low) is None)
+        end = m.end()
+    return flags
 
 
 class Windows:
-    """Words of one text and, for each, what stands for it in a template."""
+    """Windows over the words of many texts at once."""
+
+    def __init__(self, names: bool, codes: Codes):
+        self.names, self.codes = names, codes
+        self.words: list[str] = []
+        self.flags: list[bool] = []
+        self.ends: list[int] = [0]
+        self.rows: list[int] = []
 
-    def __init__(self, text: str):
+    def add(self, row: int, text: str) -> None:
         text = look(text)
-        found = list(_WORD.finditer(text))
-        shown = [m.group() for m in found]
-        self.words = [w.lower() for w in shown]
-        self.plain: list[str] = []  # numbers and units replaced: does not depend on letter case
-        self.named: list[str] = []  # names replaced as well
-        shouted = text.isupper()
-        end = 0
-        for m, w, low in zip(found, shown, self.words):
-            kind = NUMBER if w[0].isdigit() or low in _NUMBER_WORDS else UNIT if low in _UNITS else None
-            self.plain.append(kind or low)
-            if kind is None and w[0].isupper() and not shouted and end and not _SENTENCE_END.search(text[max(0, end - 1) : m.start()]):
-                kind = NAME
-            self.named.append(kind or low)
-            end = m.end()
-
-    def hashes(self, template: list[str], known: dict[str, int]) -> np.ndarray:
-        """A hash of each window of the template, from the hashes of its words."""
-        codes = np.fromiter((_code(w, known) for w in template), dtype=np.uint64, count=len(template))
-        n = len(codes) - WINDOW + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64)
+        words = _WORD.findall(text.lower())
+        if len(words) >= WINDOW:
+            self.words += words
+            if self.names:
+                self.flags += name_flags(text, words)
+            self.ends.append(len(self.words))
+            self.rows.append(row)
+
+    def found(self, wanted: np.ndarray | None) -> Iterator[tuple[int, bool, int, int, list[str]]]:
+        """``(row, named, h1, h2, slots)`` of each window, or of those whose hash is in ``wanted``."""
+        n = len(self.words) - WINDOW + 1
+        if n <= 0 or (wanted is not None and not len(wanted)):
+            return
+        codes = np.fromiter(map(self.codes.__getitem__, self.words), dtype=np.uint64, count=len(self.words))
+        ends = np.array(self.ends)
+        inside = np.ones(n, dtype=bool)
+        for k in range(1, WINDOW):  # windows that run over the end of a text
+            cut = ends[1:-1] - k
+            inside[cut[cut < n]] = False
+        plain = self._hashes(codes, n)
+        yield from self._matches(plain, inside, wanted, None)
+        if self.names:
+            is_name = np.array(self.flags, dtype=bool)
+            counts = np.concatenate([[0], np.cumsum(is_name)])
+            holds = inside & (counts[WINDOW:] > counts[:-WINDOW])
+            yield from self._matches(self._hashes(np.where(is_name, np.uint64(_NAME_CODE), codes), n), holds, wanted, is_name)
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
         total = np.zeros(n, dtype=np.uint64)
         for j in range(WINDOW):
             total += codes[j : j + n] * _POWERS[j]
@@ -83,18 +123,35 @@ class Windows:
         total ^= total >> np.uint64(32)
         return total.view(np.int64)
 
-    def at(self, template: list[str], i: int) -> tuple[int, list[str]]:
-        """A second hash of window ``i``, and the words that fill its slots."""
-        part = template[i : i + WINDOW]
-        second = xxhash.xxh3_64_intdigest(" ".join(part).encode("utf-8", "surrogatepass"), seed=1)
-        slots = [w for t, w in zip(part, self.words[i : i + WINDOW]) if t[0] == "<"]
-        return second - (1 << 64) if second >= 1 << 63 else second, slots
+    def _matches(
+        self, hashes: np.ndarray, use: np.ndarray, wanted: np.ndarray | None, is_name: np.ndarray | None
+    ) -> Iterator[tuple[int, bool, int, int, list[str]]]:
+        at = np.flatnonzero(use)
+        if wanted is not None:
+            place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
+            at = at[wanted[place] == hashes[at]]
+        owner = np.searchsorted(np.array(self.ends), at, side="right") - 1
+        for i, o in zip(at.tolist(), owner.tolist()):
+            part, slots = [], []
+            for j in range(i, i + WINDOW):
+                word = self.words[j]
+                kind = NAME if is_name is not None and is_name[j] else placeholder(word)
+                part.append(kind or word)
+                if kind:
+                    slots.append(word)
+            second = xxhash.xxh3_64_intdigest(" ".join(part).encode("utf-8", "surrogatepass"), seed=1)
+            yield self.rows[o], is_name is not None, int(hashes[i]), second - (1 << 64) if second >= 1 << 63 else second, slots
+
+
+#: Words gathered before their windows are looked at.
+GATHERED = 300_000
 
 
-def template_windows(df: DataFrame, id_column: str, text_column: str, sought: np.ndarray | None = None) -> DataFrame:
+def template_windows(df: DataFrame, id_column: str, text_column: str, sought: np.ndarray | None = None, names: bool = True) -> DataFrame:
     """Windows of every text as templates: ``id``, ``named``, ``h1``, ``h2`` (hashes of the template) and ``slots``.
 
-    Each window comes with numbers and units replaced and, if it holds a name, once more with names replaced too.
+    Each window comes with numbers and units replaced and, with ``names``, if it holds a name, once more with names replaced too. The
+    first kind does not depend on letter case, so windows of the same words always meet there.
     ``sought`` (sorted) limits the output to windows of those hashes. Narrow; whole texts.
     """
     schema = T.StructType(
@@ -109,44 +166,30 @@ def template_windows(df: DataFrame, id_column: str, text_column: str, sought: np
     shared = None if sought is None else df.sparkSession.sparkContext.broadcast(sought)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        codes = Codes()
         wanted = None if shared is None else shared.value
+
+        def emit(ids: pa.Array, windows: Windows) -> pa.RecordBatch:
+            rows = list(windows.found(wanted))
+            index, named, h1, h2, slots = zip(*rows) if rows else ((), (), (), (), ())
+            columns = [
+                ids.take(pa.array(index, pa.int64())),
+                pa.array(named, pa.bool_()),
+                pa.array(h1, pa.int64()),
+                pa.array(h2, pa.int64()),
+                pa.array(slots, pa.list_(pa.string())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
         for batch in batches:
-            rows: list[tuple] = []
-            index: list[int] = []
+            windows = Windows(names, codes)
             for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                w = Windows(text)
-                for template, named in ((w.plain, False), (w.named, True)):
-                    h = w.hashes(template, known)
-                    if not len(h):
-                        break
-                    if named:
-                        is_name = np.fromiter((t is NAME for t in template), dtype=np.int64, count=len(template))
-                        counts = np.concatenate([[0], np.cumsum(is_name)])
-                        use = counts[WINDOW:] > counts[:-WINDOW]
-                    else:
-                        use = np.ones(len(h), dtype=bool)
-                    if wanted is not None:
-                        if not len(wanted):
-                            break
-                        place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                        use &= wanted[place] == h
-                    for i in np.flatnonzero(use).tolist():
-                        index.append(row)
-                        rows.append((named, int(h[i]), *w.at(template, i)))
-            named, h1, h2, slots = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(index, pa.int64())),
-                    pa.array(named, pa.bool_()),
-                    pa.array(h1, pa.int64()),
-                    pa.array(h2, pa.int64()),
-                    pa.array(slots, pa.list_(pa.string())),
-                ],
-                names=schema.names,
-            )
+                if text:
+                    windows.add(row, text)
+                if len(windows.words) >= GATHERED:
+                    yield emit(batch.column(0), windows)
+                    windows = Windows(names, codes)
+            yield emit(batch.column(0), windows)
 
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
 
@@ -157,6 +200,7 @@ def leaked_windows(
     items: DataFrame,
     item_id: str,
     text_column: str = "text",
+    names: bool = True,
     most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """Corpus windows joined to item windows of the same template: ``corpus_id``, ``item_id``, ``exact``, ``consistent``.
@@ -169,15 +213,14 @@ def leaked_windows(
     without a shuffle; otherwise all windows are emitted and joined by a shuffle on the template's hash. Both give the
     same rows.
     """
-    wanted = template_windows(items, item_id, text_column).distinct().select(
-        F.col("id").alias("__item"), "named", "h1", "h2", F.col("slots").alias("__slots")
-    )
+    own = template_windows(items, item_id, text_column, names=names).distinct()
+    wanted = cut_lineage(own.select(F.col("id").alias("__item"), "named", "h1", "h2", F.col("slots").alias("__slots")))
     small = row_bound_holds(wanted, most_broadcast)
     sought = None
     if small:
         hashes = wanted.select("h1").distinct().toArrow().column(0).to_numpy()
         sought = np.sort(hashes)
-    found = template_windows(corpus, corpus_id, text_column, sought)
+    found = template_windows(corpus, corpus_id, text_column, sought, names)
     joined = found.join(F.broadcast(wanted) if small else wanted, ["named", "h1", "h2"])
     pairs = F.arrays_zip(F.col("slots"), F.col("__slots"))
     ways = F.size(F.array_distinct(pairs))
@@ -197,7 +240,8 @@ def leaked_items(corpus: DataFrame, corpus_id: str, items: DataFrame, item_id: s
     Words are runs of letters and digits by their looks, letter case ignored. Null, empty and shorter texts share
     none; repeated rows and passages give one row; only the named columns are read.
     """
-    hits = leaked_windows(corpus, corpus_id, items, item_id, text_column)
+    # Equal words are equal with names left in, so templates of numbers and units find all of them.
+    hits = leaked_windows(corpus, corpus_id, items, item_id, text_column, names=False)
     return hits.where("exact").select(corpus_id, item_id).distinct()
 
 
