@@ -37,6 +37,9 @@ PROTOTYPE = {
     **dict(zip(_OTHER_LATIN, _LATIN_OF_LATIN)),
 }
 
+_TO_PROTOTYPE = str.maketrans(PROTOTYPE)
+_ASCII = frozenset(map(chr, range(128)))
+
 #: How a prototype is written in each script that has the look; the first of several is used.
 SPELLINGS: dict[str, dict[str, str]] = {}
 for _letters, _latin, _script in ((_CYRILLIC, _LATIN_OF_CYRILLIC, CYRILLIC), (_GREEK, _LATIN_OF_GREEK, GREEK)):
@@ -129,6 +132,20 @@ def _separated(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_FOLD))
 
 
+@lru_cache(maxsize=1 << 16)
+def _plain(ch: str) -> bool:
+    """Whether a character stands for itself in any company: nothing folds it, and its letter is Latin without look-alikes."""
+    apart = unicodedata.normalize("NFD", ch)
+    if _FOLD[ord(ch)] != ch or unicodedata.category(ch).startswith("M") or unicodedata.normalize("NFC", apart) != ch:
+        return False
+    return all(c not in PROTOTYPE and (not c.isalpha() or LATIN in scripts_of(c)) for c in apart)
+
+
+def _settled(text: str) -> bool:
+    """Whether ``text`` is seen to be its own consistent form without taking it apart."""
+    return all(map(_plain, set(text) - _ASCII)) and unicodedata.is_normalized("NFC", text)
+
+
 def consistent_form(text: str | None) -> str | None:
     """The one form of all texts that look like ``text``; null for null.
 
@@ -138,14 +155,14 @@ def consistent_form(text: str | None) -> str | None:
     write, each letter takes its prototype. All choices depend on looks alone, so texts that look the same
     come out equal, and different looks never become the same.
     """
-    if text is None or text.isascii():
+    if text is None or text.isascii() or _settled(text):
         return text
     text = _separated(text)
     if text.isascii():
         return text
     if all(not c.isalpha() or LATIN in scripts_of(c) for c in set(text)):
-        # Nothing in it can only be written otherwise, so every token can be Latin.
-        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: spell(m.group(), LATIN), text))
+        # Nothing in it can only be written otherwise, so every token can be Latin, and is.
+        return unicodedata.normalize("NFC", text.translate(_TO_PROTOTYPE))
     count: Counter[str] = Counter()
     for token in _TOKEN.findall(text):
         scripts = resolved_scripts(token)
@@ -167,10 +184,10 @@ def consistent_form(text: str | None) -> str | None:
 
 def look(text: str) -> str:
     """The text by its looks, each letter by its prototype: equal for exactly the texts of equal consistent form."""
-    if text.isascii():
+    if text.isascii() or _settled(text):
         return text
     text = _separated(text)
-    return text if text.isascii() else unicodedata.normalize("NFC", "".join(PROTOTYPE.get(c, c) for c in text))
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_TO_PROTOTYPE))
 
 
 def _halves(text: str) -> tuple[int, int]:
@@ -222,10 +239,10 @@ def form_fingerprints(df: DataFrame, id_column: str, text_column: str) -> DataFr
 def lookalike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Rows whose look is written in two ways or more: ``id`` with its four fingerprint halves.
 
-    Two shuffles of fixed-width rows. Whether a look has several spellings is an aggregate combined on
+    Fingerprints are made once, being the costly part, and written down as 40 bytes a row. Then two shuffles of these rows. Whether a look has several spellings is an aggregate combined on
     the map side, so a hot look (a third of all rows being copies, say) arrives as one row a task.
     """
-    prints = form_fingerprints(df, id_column, text_column)
+    prints = cut_lineage(form_fingerprints(df, id_column, text_column))
     several = (
         prints.groupBy("f1", "f2")
         .agg(F.min("t1").alias("a1"), F.max("t1").alias("b1"), F.min("t2").alias("a2"), F.max("t2").alias("b2"))
