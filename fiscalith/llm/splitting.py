@@ -150,9 +150,12 @@ def split_texts(
 
     Narrow: one pass, no shuffle. A text is split whole, however long; memory is a few bytes a character.
     Null text gives one piece with null text, empty text one empty piece. ``token_count`` is counted from the
-    piece, whatever a column of that name says. Repeated rows are each split. ``keep`` lists columns to carry;
-    all others, whatever their names, are left out.
+    piece, whatever a column of that name says. Repeated rows are each split. ``keep`` lists columns to carry, which must
+    not be called like those of the pieces; all others, whatever their names, are left out.
     """
+    made = {"piece_index", "start", "text", "token_count", "cut", "boundary"}
+    if made & {id_column, *keep}:
+        raise ValueError(f"rename {sorted(made & {id_column, *keep})}: the pieces have columns of that name")
     max_chars, overlap = token_chars(max_tokens), overlap_tokens * CHARS_PER_TOKEN
     least = max(overlap + 1, int(max_chars * least_fill))
     schema = T.StructType(

@@ -84,7 +84,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, identifier: str, n: i
             F.col(group).alias("__group"),
             value.alias("__score"),
             F.col(identifier).alias("__id"),
-            F.struct(*names).alias("__row"),
+            F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"),
         )
         .repartitionByRange(F.asc_nulls_first("__group"), F.desc_nulls_last("__score"), F.asc_nulls_first("__id"))
         .sortWithinPartitions(F.asc_nulls_first("__group"), F.desc_nulls_last("__score"), F.asc_nulls_first("__id"))
