@@ -18,7 +18,7 @@ from fiscalith.session import cut_lineage, row_bound_holds
 #: Words of a window.
 WINDOW = 10
 #: Windows of all items that may be broadcast at most; more are joined through a shuffle.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 500_000
 
 # Number words and units that a question's wording can be re-parameterised by.
 _NUMBER_WORDS = frozenset(
