@@ -75,3 +75,137 @@ def test_stream_windows(spark, tmp_path):
     spark.sql("select timestamp'2024-01-01 00:01:00' ts, 'a' k union all select timestamp'2024-01-01 00:03:00', 'a'").write.parquet(f"{tmp_path}/e")
     stream = spark.readStream.schema("ts timestamp, k string").parquet(f"{tmp_path}/e")
     assert [r.n for r in run_to_memory(windowed_counts(stream, "ts", "k"), "counted").collect()] == [2]
+
+
+class _Answer:
+    def __init__(self, body, kind="application/pdf"):
+        self.body, self.headers = body, {"Content-Type": kind}
+
+    def read(self):
+        return self.body
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+def test_fetch_rules(tmp_path):
+    import urllib.error
+
+    from fiscalith.sources.download import fetch
+
+    asked = []
+
+    def opener(request, timeout):
+        asked.append(request.full_url)
+        if "gone" in request.full_url:
+            raise urllib.error.HTTPError(request.full_url, 404, "", {}, None)
+        if "busy" in request.full_url:
+            raise urllib.error.HTTPError(request.full_url, 503, "", {}, None)
+        return _Answer(b"<html>" if "page" in request.full_url else b"%PDF", "text/plain")
+
+    path = f"{tmp_path}/d/a.pdf"
+    assert fetch("http://h/gone", path, pause=0, opener=opener) == ("http 404", None) and len(asked) == 1
+    assert fetch("http://h/busy", path, pause=0, opener=opener) == ("http 503", None) and len(asked) == 4
+    assert fetch("http://h/page", path, pause=0, opener=opener) == ("html", None)
+    assert fetch("http://h/good", path, pause=0, opener=opener) == ("saved", 4)
+    assert fetch("http://h/good", path, pause=0, opener=opener) == ("present", 4) and len(asked) == 6
+
+
+def test_download_table(spark, tmp_path):
+    import http.server
+    import threading
+
+    from fiscalith.sources.download import as_links, download
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if "b" in self.path else 404)
+            self.end_headers()
+            self.wfile.write(b"%PDF-1")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = [(2024, 0, f"{base}/a"), (2024, 1, f"{base}/b"), (2023, 0, f"{base}/c")]
+    links = as_links(spark.createDataFrame(rows, "fy int, attempt int, url string"), str(tmp_path), ["fy"], "law_{}.pdf")
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.attempt) for r in download(links, pause=0).collect()}
+    assert got == {"law_2024.pdf": ("saved", 1), "law_2023.pdf": ("http 404", 0)}
+    again = {r.path.rsplit("/", 1)[1]: r.status for r in download(links, pause=0).collect()}
+    server.shutdown()
+    assert again["law_2024.pdf"] == "present"
+
+
+def test_award_source(spark):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def reply(self, data):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(data).encode())
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "page" in body:
+                self.reply({"results": [{"Award ID": f"A{body['page']}", "Award Amount": 5, "Start Date": "2024-01-02"}], "page_metadata": {"hasNext": body["page"] < 2}})
+            else:
+                self.reply({"results": [{"name": body["type"], "amount": 1}]})
+
+        def do_GET(self):
+            self.reply({"results": [{"toptier_code": "097"}]})
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    raw = awards.read_awards(spark, ["097", "021"], [2024], url=url)
+    rows = awards.typed_awards(raw).collect()
+    levels = {r.level for r in awards.read_spending(spark, ["097"], [2024], url=url).collect()}
+    top = spark.read.format("fiscal_awards").options(kind="toptier", url=url).load().count()
+    server.shutdown()
+    assert sorted((r.agency, r.award_id, r.award_amount) for r in rows) == [("021", "A1", 5.0), ("021", "A2", 5.0), ("097", "A1", 5.0), ("097", "A2", 5.0)]
+    assert rows[0].start_date.year == 2024 and levels == set(awards.LEVELS) and top == 1
+
+
+def test_pipelines(spark, tmp_path):
+    from fiscalith.plans.listing import SAMPLE_PAGE
+    from fiscalith.plans.pipeline import load_star, parse_listings, parse_policies
+
+    def extract(content):
+        if content == b"broken":
+            raise ValueError("no text layer")
+        return content.decode()
+
+    files = spark.createDataFrame(
+        [("x/2025/fy2025_r1.pdf", bytearray((SAMPLE_PAGE * 1).encode())), ("x/fy2024_r1.pdf", bytearray(b"")), ("x/bad.pdf", bytearray(b"broken"))],
+        "path string, content binary",
+    )
+    rows, bad = parse_listings(files, extract, lambda b: SAMPLE_PAGE, f"{tmp_path}/rows")
+    got = rows.collect()
+    assert {(r.fiscal_year, r.extraction_method) for r in got} == {(2025, "native"), (2024, "ocr")} and len(got) == 8
+    assert [(r.path, r.error) for r in bad.collect()] == [("x/bad.pdf", "ValueError: no text layer")]
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 8
+    counts = [{k: v.count() for k, v in load_star(rows, f"{tmp_path}/star").items()} for _ in range(2)]
+    assert counts[0] == counts[1] and counts[0]["source_documents"] == 2
+    para = "word " * 60
+    texts = spark.createDataFrame([("ndaa_2024.pdf", "NDAA", f"SEC. 1. Radios.\n{para}"), ("nds_2022.pdf", "NDS", para)], "filename string, doc_type string, text string")
+    chunks = parse_policies(texts)
+    assert sorted((r.filename, r.doc_year, r.fiscal_year) for r in chunks.collect()) == [("ndaa_2024.pdf", 2024, 2024), ("nds_2022.pdf", 2022, None)]
+    assert parse_policies(texts, chunks).count() == 2 and parse_policies(texts, chunks, years=[2022]).count() == 2
+
+
+def test_report(spark, tmp_path):
+    from fiscalith.plans.pipeline import executive_report
+
+    executive_report(spark, "/root/testdata/sf0.001", ["Radio", ""], 2020, 2025, f"{tmp_path}/r.xlsx")
+    with zipfile.ZipFile(f"{tmp_path}/r.xlsx") as z:
+        assert len([n for n in z.namelist() if "sheet" in n]) == 3
