@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 
@@ -75,15 +76,34 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+@lru_cache(maxsize=1 << 16)
+def _characters(s: str) -> Counter[str]:
+    return Counter(s)
+
+
+def partial_bound(a: str, b: str) -> float:
+    """What ``partial_ratio`` cannot exceed, from the characters that the two have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    other = _characters(b)
+    common = sum(min(n, other[ch]) for ch, n in _characters(a).items())
+    return 200.0 * common / (len(a) + common) if a else 100.0
+
+
 def partial_token_ratio(a: str, b: str) -> float:
     left, right = tokens_of(a)[1], tokens_of(b)[1]
     if left & right:
         return 100.0
-    return max(partial_ratio(tokens_of(a)[0], tokens_of(b)[0]), partial_ratio(" ".join(sorted(left)), " ".join(sorted(right))))
+    in_order, distinct = (tokens_of(a)[0], tokens_of(b)[0]), (" ".join(sorted(left)), " ".join(sorted(right)))
+    best = partial_ratio(*in_order)
+    return best if distinct == in_order else max(best, partial_ratio(*distinct))
+
 
+def weighted_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The whole, token and, for strings of very unequal length, partial ratios, the latter at a discount.
 
-def weighted_ratio(a: str, b: str) -> float:
-    """The whole, token and, for strings of very unequal length, partial ratios, the latter at a discount."""
+    A result below ``least`` may come out smaller still: comparisons that cannot reach it are left out.
+    """
     if not a or not b:
         return 0.0
     longer = max(len(a), len(b)) / min(len(a), len(b))
@@ -91,4 +111,10 @@ def weighted_ratio(a: str, b: str) -> float:
     if longer < 1.5:
         return max(best, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
     scale = 0.9 if longer <= 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+    share = tokens_of(a)[1] & tokens_of(b)[1]
+    bound = scale * partial_bound(a, b)
+    if share:
+        best = max(best, 95.0 * scale)
+    elif 0.95 * bound > max(best, least):
+        best = max(best, 0.95 * scale * partial_token_ratio(a, b))
+    return max(best, scale * partial_ratio(a, b)) if bound > max(best, least) else best

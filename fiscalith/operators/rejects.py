@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FIELD = r'"(?:[^"]|"")*"|[^",]*'
+# Possessive, so that a text is read once however it is broken.
+_FIELD = r'"(?:[^"]++|"")*+"|[^",]*+'
 #: A record whose quotes all enclose whole fields.
 _SOUND = re.compile(rf"(?:{_FIELD})(?:,(?:{_FIELD}))*", re.S)
 _SPLIT = re.compile(rf"({_FIELD})(?:,|\Z)", re.S)

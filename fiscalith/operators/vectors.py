@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,9 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length ``dim`` without nulls as a normalized matrix, and where they were."""
     flat = column.flatten()
     lengths = np.asarray(column.value_lengths().fill_null(-1))
-    if len(flat) == dim * len(lengths) and (lengths == dim).all() and flat.null_count == 0:
-        rows, where = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64), np.arange(len(lengths))
+    where = np.flatnonzero(lengths == dim)
+    if len(flat) == dim * len(where) and flat.null_count == 0:
+        rows = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
     else:
         good = [(i, v) for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dim and None not in v]
         where = np.array([i for i, _ in good], dtype=np.int64)
@@ -115,8 +117,19 @@ def top_k_cosine(
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_features(word: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of a word and its letter trigrams."""
+    padded = f"^{word}$"
+    grams = [word, *(padded[i : i + 3] for i in range(len(padded) - 2))]
+    codes = np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams], dtype=np.uint64)
+    weights = np.where(codes >> np.uint64(63), 1.0, -1.0)
+    weights[0] *= 2
+    return (codes % np.uint64(dim)).astype(np.int64), weights
+
+
 def hashed_embedding(text: Column, dim: int = 256) -> Column:
-    """A vector from text without any model: words and letter trigrams hashed with signs, of length one.
+    """A vector from text without any model: words and letter trigrams hashed with signs, of length one; null for blank text.
 
     The stand-in for a sentence encoder; replace it by a function of the same shape to use one.
     """
@@ -125,13 +138,11 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
     def embed(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            v = np.zeros(dim, dtype=np.float64)
-            words = (t or "").lower().split()
-            for w in words:
-                padded = f"^{w}$"
-                for g in (w, *(padded[i : i + 3] for i in range(len(padded) - 2))):
-                    h = xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass"))
-                    v[h % dim] += (1.0 if h >> 63 else -1.0) * (2.0 if g is w else 1.0)
+            parts = [_word_features(w, dim) for w in (t or "").lower().split()]
+            if not parts:
+                out.append(None)
+                continue
+            v = np.bincount(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]), dim)
             size = np.linalg.norm(v)
             out.append((v / size).astype(np.float32) if size else None)
         return pd.Series(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,7 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
     n_blocks = max(1, -(-prepared.count() // block))
     schema = "query string, pe_id bigint, leg int, score double"
     keep = 3 * top_n
+    tasks = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
     for b in range(n_blocks):
         mine = prepared if n_blocks == 1 else prepared.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b)
@@ -94,8 +96,8 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
             rows: list[tuple] = []
             titles = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns])]
             for raw, full in shared.value:
-                for leg, scorer, text, column in ((0, weighted_ratio, full, 2), (1, token_set_ratio, raw, 1)):
-                    scored = ((s, -t[0]) for t in titles if (s := scorer(text, t[column])) >= cutoff)
+                for leg, scorer, text, column in ((0, partial(weighted_ratio, least=cutoff), full, 2), (1, token_set_ratio, raw, 1)):
+                    scored = ((s, -t[0]) for t in titles if (s := scorer(text, t[column])) >= cutoff)  # ties: smaller id
                     best = sorted(scored, reverse=True)[:keep]
                     rows += [(raw, -i, leg, s) for s, i in best]
             q, i, leg, s = zip(*rows) if rows else ((), (), (), ())
@@ -104,8 +106,8 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
                 names=["query", "pe_id", "leg", "score"],
             )
 
-        # A block of titles a task: comparing is the work here, so it is spread by rows, not by bytes.
-        part = titles.repartition(F.col("pe_id")).mapInArrow(run, schema)
+        # Comparing is the work here, so titles are spread evenly by rows; a given number keeps small tables from being put together.
+        part = titles.repartition(tasks, "pe_id").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     in_leg = Window.partitionBy("query", "leg").orderBy(F.desc("score"), "pe_id")
     legs = found.withColumn("__n", F.row_number().over(in_leg)).where(F.col("__n") <= keep)

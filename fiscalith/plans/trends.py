@@ -59,25 +59,34 @@ def with_growth(wide: DataFrame, first: int, last: int) -> DataFrame:
     return wide.withColumns({"total_delta_pct": total_delta_pct(a, b), "cagr_pct": cagr_pct(a, b, last - first)})
 
 
-def agency_trends(facts: DataFrame, elements: DataFrame, first: int, last: int, funding_types: Sequence[str] | None = None) -> DataFrame:
-    """Money by agency and year, with growth. ``funding_types`` None sums all three books, as the reference does."""
+def trends_by(
+    facts: DataFrame, elements: DataFrame, keys: Sequence[str], first: int, last: int, funding_types: Sequence[str] | None = None
+) -> DataFrame:
+    """Money by ``keys`` of the element and by year, with growth.
+
+    Years become columns in the first aggregate, by element: its shuffle serves the join as well, and the join carries one row an element.
+    """
     rows = facts if funding_types is None else facts.where(F.col("funding_type").isin(*funding_types))
-    # Summed by element first: the join then carries one row per element and year.
-    by_element = rows.where(F.col("fiscal_year").between(first, last)).groupBy("pe_id", "fiscal_year").agg(
-        F.sum(F.col("amount").cast("decimal(20,4)")).alias("amount")
+    years = range(first, last + 1)
+    amount = F.col("amount").cast("decimal(20,4)")
+    by_element = (
+        rows.where(F.col("fiscal_year").between(first, last))
+        .groupBy("pe_id")
+        .agg(*[F.sum(F.when(F.col("fiscal_year") == y, amount)).alias(str(y)) for y in years])
     )
-    joined = by_element.join(elements.select("pe_id", "agency"), "pe_id")
-    return with_growth(pivot_years(joined, ["agency"], first, last), first, last)
+    joined = by_element.join(elements.select("pe_id", *keys), "pe_id")
+    wide = joined.groupBy(*keys).agg(*[F.sum(F.col(f"`{y}`")).cast("double").alias(str(y)) for y in years]).na.fill(0.0)
+    return with_growth(wide, first, last)
+
+
+def agency_trends(facts: DataFrame, elements: DataFrame, first: int, last: int, funding_types: Sequence[str] | None = None) -> DataFrame:
+    """Money by agency and year, with growth. ``funding_types`` None sums all three books, as the reference does."""
+    return trends_by(facts, elements, ["agency"], first, last, funding_types)
 
 
 def pe_trends(facts: DataFrame, elements: DataFrame, first: int, last: int, funding_types: Sequence[str] | None = None) -> DataFrame:
     """Money by program element and year, with growth."""
-    rows = facts if funding_types is None else facts.where(F.col("funding_type").isin(*funding_types))
-    by_element = rows.where(F.col("fiscal_year").between(first, last)).groupBy("pe_id", "fiscal_year").agg(
-        F.sum(F.col("amount").cast("decimal(20,4)")).alias("amount")
-    )
-    keys = ["pe_number", "program_name", "agency"]
-    return with_growth(pivot_years(by_element.join(elements.select("pe_id", *keys), "pe_id"), keys, first, last), first, last)
+    return trends_by(facts, elements, ["pe_number", "program_name", "agency"], first, last, funding_types)
 
 
 def latest_funding(facts: DataFrame, funding_type: str = "BY Request") -> DataFrame:

@@ -121,3 +121,26 @@ def test_paths(spark):
     joined = values(spark, lambda c: D.joined_url(F.lit("https://a.b/c/d.html?q"), c), ["e.pdf", "/e.pdf", "http://x/y.pdf", "//x/y.pdf"])
     assert joined == ["https://a.b/c/e.pdf", "https://a.b/e.pdf", "http://x/y.pdf", "https://x/y.pdf"]
     assert D.canonical_names([" Award ID", "Place of Performance State Code", "a/b%"]) == ["award_id", "place_of_performance_state_code", "a_b"]
+
+
+def test_shortcuts_change_no_result():
+    import random
+
+    from fiscalith.functions.similarity import partial_bound, partial_token_ratio
+
+    rng = random.Random(8)
+    words = "radar radio set of the glide body missile sonar dome".split()
+    for _ in range(400):
+        a = " ".join(rng.choices(words, k=rng.randint(1, 3)))
+        b = " ".join(rng.choices([*words, "xqz", "radarr"], k=rng.randint(1, 9)))
+        assert partial_ratio(a, b) <= partial_bound(a, b) + 1e-9
+        longer = max(len(a), len(b)) / min(len(a), len(b))
+        full = ratio(a, b)
+        if longer < 1.5:
+            full = max(full, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
+        else:
+            scale = 0.9 if longer <= 8 else 0.6
+            full = max(full, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+        assert weighted_ratio(a, b) == pytest.approx(full)
+        cut = weighted_ratio(a, b, least=70.0)
+        assert cut == pytest.approx(full) if full >= 70 else cut < 70
