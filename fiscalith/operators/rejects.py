@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fiscalith.session import ship_package
+
 # Possessive, so that a text is read once however it is broken.
 _FIELD = r'"(?:[^"]++|"")*+"|[^",]*+'
 #: A record whose quotes all enclose whole fields.
@@ -114,6 +116,7 @@ def split_records(df: DataFrame, id_column: str, text_column: str, spec: RecordS
     bounded by a batch. Null and empty texts have no fields (``columns``); repeated records are judged one by one.
     Only the two named columns are read, so others may have any name.
     """
+    ship_package(df.sparkSession)
     if id_column in ("reason", "record"):
         raise ValueError(f"rename {id_column}: the result has a column of that name")
     schema = T.StructType(

@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from fiscalith.session import ship_package
+
 #: Query vectors that one scan of the corpus is held against at most; more are done in further scans.
 QUERY_BLOCK = 4096
 
@@ -53,6 +55,7 @@ def top_k_cosine(
     Scores are rounded to ``digits`` before ranking, ties go to the smaller id. Null, empty, zero and differently long
     vectors match nothing. Scores below ``threshold`` are left out.
     """
+    ship_package(corpus.sparkSession)
     usable = queries.where(F.col(query_vector).isNotNull() & (F.size(query_vector) > 0))
     n_blocks = max(1, -(-usable.count() // block))
     out_type = T.StructType(
@@ -134,6 +137,10 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
     The stand-in for a sentence encoder; replace it by a function of the same shape to use one.
     """
 
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship_package(session)
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         out = []

@@ -16,7 +16,7 @@ from fiscalith.functions.similarity import token_set_ratio, weighted_ratio
 from fiscalith.operators.vectors import hashed_embedding, top_k_cosine
 from fiscalith.plans.registry import query
 from fiscalith.plans.trends import BASE_SQL, elements
-from fiscalith.session import cut_lineage
+from fiscalith.session import cut_lineage, ship_package
 from fiscalith.sources.tables import read_table
 
 #: Fuzzy queries held against one scan of the titles at most; more are done in further scans.
@@ -78,6 +78,7 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
     with the title as it is. The better one counts, the prepared one at equal scores. ``queries`` has a column ``query``. The queries
     are the stated set: counted, and held against all titles ``block`` at a time.
     """
+    ship_package(elements.sparkSession)
     texts = queries.where(F.trim("query") != "").select("query").distinct()
     prepared = texts.select("query", X.processed_query(F.col("query"))["expanded"].alias("expanded")).where("expanded <> ''")
     titles = elements.where(~F.col("is_classified") & (F.col("program_name") != "")).select(

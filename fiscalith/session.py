@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def row_bound_holds(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; reads no more than it must to tell."""
     return df.limit(most + 1).count() <= most
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, so that they need not have it installed.
+
+    The archive is read from the driver by Spark's own file server.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fiscalith_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fiscalith-package-")) / "fiscalith-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._fiscalith_shipped = True

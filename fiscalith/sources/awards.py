@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fiscalith.session import ship_package
 from fiscalith.sources.discovery import canonical_names
 
 SCHEMA = "agency string, fiscal_year int, level string, page int, record string"
@@ -171,6 +172,7 @@ class AwardSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(AwardSource)
 
 

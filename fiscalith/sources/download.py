@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscalith.session import ship_package
+
 OUTCOME = "path string, url string, attempt int, status string, size_bytes bigint"
 #: Answers after which a link is given up at once.
 GIVEN_UP = frozenset([403, 404])
@@ -59,6 +61,8 @@ def download(links: DataFrame, attempts: int = 3, pause: float = 2.0, parallel:
     only what is missing. At most ``parallel`` tasks ask at the same time. Write the result down: the step has side effects.
     """
 
+    ship_package(links.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []

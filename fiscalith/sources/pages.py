@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiscalith.session import ship_package
+
 SCHEMA = "path string, text string, error string"
 
 
@@ -24,6 +26,8 @@ def pdf_to_text(content: bytes) -> str:
 def extract(files: DataFrame, extractor: Callable[[bytes], str] = pdf_to_text) -> DataFrame:
     """``path``, ``text`` and ``error`` of each file of ``binaryFile`` shape; a file that cannot be read has an error and stops no other."""
 
+    ship_package(files.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
