@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fiscalith.session import ship_package
+
 #: Where the vocabulary files are by default.
 VOCABULARIES = "/opt/tokenizers"
 
@@ -127,6 +129,7 @@ def encode_texts(
     rows are encoded each; other columns are not read.
     """
     spark = df.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary, folder))
     schema = T.StructType([df.schema[id_column], T.StructField(ids_column, T.ArrayType(T.IntegerType()))])
 
@@ -153,6 +156,7 @@ def decode_ids(
     text_column: str = "text",
 ) -> DataFrame:
     """``id_column`` and the text that ``ids_column`` stands for; empty text for an empty list, null for null."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary, folder))
     schema = T.StructType([df.schema[id_column], T.StructField(text_column, T.StringType())])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fiscalith.llm.lookalike import look
-from fiscalith.session import cut_lineage, row_bound_holds
+from fiscalith.session import cut_lineage, row_bound_holds, ship_package
 
 #: Words of a window.
 WINDOW = 10
@@ -163,6 +163,7 @@ def template_windows(df: DataFrame, id_column: str, text_column: str, sought: np
             T.StructField("slots", T.ArrayType(T.StringType())),
         ]
     )
+    ship_package(df.sparkSession)
     shared = None if sought is None else df.sparkSession.sparkContext.broadcast(sought)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
