@@ -12,6 +12,15 @@ from pyspark.sql.window import Window
 BLOCK = 4096
 
 
+def _joined(rows: DataFrame, blocks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of their block; null keys meet null keys."""
+    named = blocks.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__block").alias("__of"), value)
+    same = F.col("__block") == F.col("__of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return rows.join(named, same, "left")
+
+
 def _order(order: str, tie: str | None) -> list[str]:
     return [order] if tie is None else [order, tie]
 
@@ -27,16 +36,12 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: str, column: str, t
     inside = Window.partitionBy(*keys, "__block").orderBy(*_order(order, tie)).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumn("__here", F.last(column, ignorenulls=True).over(inside))
     rank = F.struct(*[F.col(c) for c in _order(order, tie)])
-    ends = blocked.where(F.col(column).isNotNull()).groupBy(*keys, "__block").agg(F.max_by(column, rank).alias("__end"))
     # Every block, also one without a value, must know what came before it.
-    blocks = blocked.select(*keys, "__block").distinct()
+    place = F.when(F.col(column).isNotNull(), rank)
+    ends = blocked.groupBy(*keys, "__block").agg(F.max_by(column, place).alias("__end"))
     across = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        blocks.join(ends, [*keys, "__block"], "left")
-        .withColumn("__before", F.last("__end", ignorenulls=True).over(across))
-        .select(*keys, "__block", "__before")
-    )
-    joined = local.join(before, [*keys, "__block"], "left")
+    before = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(across)).select(*keys, "__block", "__before")
+    joined = _joined(local, before, keys, "__before")
     return joined.withColumn(column, F.coalesce("__here", "__before")).select(*df.columns)
 
 
@@ -55,5 +60,5 @@ def running_sum(
     )
     local = blocked.withColumn("__here", F.sum(column).over(inside))
     zero = F.lit(0)
-    joined = local.join(totals, [*keys, "__block"], "left")
+    joined = _joined(local, totals, keys, "__before")
     return joined.withColumn(name, F.coalesce("__here", zero) + F.coalesce("__before", zero)).select(*df.columns, name)

@@ -20,7 +20,7 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str], values: list[
     ).select(*keys, "__at", *[F.col("__v")[v].alias(v) for v in values])
 
 
-def numbered(dimension: DataFrame, keys: list[str], name: str, start: int = 0, shards: int = 64) -> DataFrame:
+def numbered(dimension: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:
     """Dense ids from ``start + 1`` in the order of the keys.
 
     Keys are range-partitioned and counted by partition; a prefix sum over the partitions gives where each begins, so no task

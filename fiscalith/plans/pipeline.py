@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fiscalith.plans.chunking import section_chunks, window_chunks
 from fiscalith.plans.ingest import replace_documents, star_schema
@@ -57,7 +58,7 @@ def parse_policies(
     acts = section_chunks(chosen.where("doc_type = 'NDAA'"), "filename", "text")
     others = window_chunks(chosen.where("doc_type <> 'NDAA'"), "filename", "text").select(
         "filename",
-        (F.col("page_number") * 10000 + F.col("window")).alias("chunk_index"),
+        (F.row_number().over(Window.partitionBy("filename").orderBy("page_number", "window")) - 1).alias("chunk_index"),
         "page_number",
         F.lit(None).cast("string").alias("section_id"),
         "section_title",

@@ -84,7 +84,7 @@ def test_replace_and_cascade(spark):
 
 def test_sequences_against_brute_force(spark):
     rng = random.Random(3)
-    rows = [(rng.choice("ab"), i, i % 7, rng.choice([None, None, str(i)]), rng.randint(0, 9)) for i in range(300)]
+    rows = [(rng.choice(["a", "b", None]), i, i % 7, rng.choice([None, None, str(i)]), rng.randint(0, 9)) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, pos int, tie int, v string, n int")
     carried = {(r.g, r.pos): r.v for r in carry_forward(df, ["g"], "pos", "v", tie="tie", block=16).collect()}
     summed = {(r.g, r.pos): r.s for r in running_sum(df, ["g"], "pos", "n", "s", tie="tie", block=16).collect()}
