@@ -381,3 +381,11 @@ def packed(items: Column, budget: int, joiner: str = "\n\n") -> Column:
         )
 
     return F.aggregate(items, F.array().cast(kind), step)
+
+
+def carried(items: Column, kind: str, default: Column) -> Column:
+    """``items`` with each null replaced by the last element before it, ``default`` until the first; ``kind`` is the element type."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.aggregate(
+        items, none, lambda done, x: F.concat(done, F.array(F.coalesce(x, F.try_element_at(done, F.lit(-1)), default).cast(kind)))
+    )

@@ -82,20 +82,26 @@ def window_chunks(documents: DataFrame, key: str, text: str, separator: str = "\
     """Chunks of documents by overlapping windows of four paragraphs a page, under the last heading met.
 
     The last heading of a page labels all of its windows; pages without one take the heading before, the first pages
-    ``Introduction``. Windows under 30 tokens are left out.
+    ``Introduction``. Windows under 30 tokens are left out. Headings are carried inside the row of the document: no shuffle.
     """
-    pages = documents.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.split(F.col(text), "\f", -1)).alias("__p", "__raw"))
-    cleaned = pages.select(key, (F.col("__p") + 1).alias("page_number"), X.cleaned_page(F.col("__raw")).alias("__clean")).where("__clean <> ''")
-    headings = F.filter(
-        F.transform(F.regexp_extract_all("__clean", F.lit(X.HEADING), F.lit(1)), X.stripped), lambda h: (F.length(h) > 5) & ~h.rlike("^[0-9]+$")
+    def heading(page: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(page, F.lit(X.HEADING), F.lit(1)), X.stripped)
+        long = F.filter(found, lambda h: (F.length(h) > 5) & ~h.rlike("^[0-9]+$"))
+        return F.try_element_at(long, F.lit(-1))
+
+    cleaned = documents.where(F.col(text).isNotNull()).select(
+        F.col(key), F.transform(F.split(F.col(text), "\f", -1), X.cleaned_page).alias("__pages")
     )
-    labelled = carry_forward(
-        cleaned.withColumn("__heading", F.when(F.size(headings) > 0, F.element_at(headings, -1))), [key], "page_number", "__heading"
+    titles = X.carried(F.transform("__pages", heading), "string", F.lit("Introduction"))
+    labelled = (
+        cleaned.select(key, F.posexplode(F.arrays_zip("__pages", titles.alias("__titles"))).alias("__p", "__z"))
+        .select(key, (F.col("__p") + 1).alias("page_number"), F.col("__z.__pages").alias("__clean"), F.col("__z.__titles").alias("__heading"))
+        .where("__clean <> ''")
     )
     windows = labelled.select(
         key,
         "page_number",
-        F.substring(F.coalesce("__heading", F.lit("Introduction")), 1, 500).alias("section_title"),
+        F.substring("__heading", 1, 500).alias("section_title"),
         F.posexplode(X.sliding(X.paragraphs(F.col("__clean"), separator))).alias("window", "__w"),
     )
     text_of = F.array_join("__w", "\n\n")

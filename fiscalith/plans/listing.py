@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiscalith.functions import text as X
-from fiscalith.operators.sequences import carry_forward
 from fiscalith.plans.registry import query
 from fiscalith.sources.tables import read_table
 
@@ -58,17 +57,20 @@ def file_rows(files: DataFrame, key: str, text: str) -> DataFrame:
     """Data rows of listing files (pages divided by form feeds), with the appropriation and component in force on their page.
 
     Pages of other appropriations are passed over; a page without a header keeps the one before it, the first pages ``Unknown``.
+    Headers are carried inside the row of the file: no shuffle.
     """
-    pages = files.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.split(F.col(text), "\f", -1)).alias("__page_no", "__page"))
-    kept = pages.where(~F.col("__page").rlike(X.OTHER_APPROPRIATION)).withColumn("__header", X.appropriation(F.col("__page")))
-    headed = carry_forward(kept, [key], "__page_no", "__header")
-    unknown = F.lit("Unknown")
-    named = headed.select(
+    numbered = F.transform(F.split(F.col(text), "\f", -1), lambda p, i: F.struct(i.alias("no"), p.alias("page")))
+    kept = files.where(F.col(text).isNotNull()).select(
+        F.col(key), F.filter(numbered, lambda p: ~p["page"].rlike(X.OTHER_APPROPRIATION)).alias("__pages")
+    )
+    unknown = F.struct(F.lit("Unknown").alias("appropriation"), F.lit("Unknown").alias("component"))
+    headers = X.carried(F.transform("__pages", lambda p: X.appropriation(p["page"])), "struct<appropriation:string,component:string>", unknown)
+    named = kept.select(key, F.explode(F.arrays_zip("__pages", headers.alias("__headers"))).alias("__z")).select(
         key,
-        "__page_no",
-        "__page",
-        F.coalesce("__header.appropriation", unknown).alias("appropriation"),
-        F.coalesce("__header.component", unknown).alias("component"),
+        F.col("__z.__pages.no").alias("__page_no"),
+        F.col("__z.__pages.page").alias("__page"),
+        F.col("__z.__headers.appropriation").alias("appropriation"),
+        F.col("__z.__headers.component").alias("component"),
     )
     rows = page_rows(named, [key, "appropriation", "component"], "__page")
     return rows.withColumnRenamed("__page_no", "page")
