@@ -36,12 +36,20 @@ def section_chunks(documents: DataFrame, key: str, text: str, separator: str = "
     pattern = f"(?imd){X.SECTION}"
     none = F.array().cast(f"array<{_CHUNK}>")
 
-    def section(p: Column, i: Column) -> Column:
-        body = X.stripped(p)
+    def headed(p: Column, i: Column) -> Column:
+        """What the patterns find in a part, once; the part before the first heading has no number."""
         title = F.regexp_replace(X.stripped(F.regexp_extract(p, pattern, 2)), r"\.+$", "")
-        sec = F.concat(F.lit("SEC. "), F.regexp_extract(p, pattern, 1))
+        return F.struct(
+            X.stripped(p).alias("body"),
+            title.alias("title"),
+            F.regexp_extract(p, pattern, 1).alias("number"),
+            F.get(F.col("__starts"), i).alias("start"),
+        )
+
+    def section(s: Column) -> Column:
+        body, title, start = s["body"], s["title"], s["start"]
+        sec = F.concat(F.lit("SEC. "), s["number"])
         name = F.when(title != "", F.substring(title, 1, 500))
-        start = F.get(F.col("__starts"), i)
         # Pages whose text ends before the section starts, plus one; none if the text ends earlier.
         before = F.size(F.filter(F.col("__page_ends"), lambda e: e < start))
         page = F.when(before < F.size("__page_ends"), before + 1)
@@ -51,7 +59,7 @@ def section_chunks(documents: DataFrame, key: str, text: str, separator: str = "
             X.packed(X.paragraphs(body, separator), MAX_SECTION_TOKENS),
             lambda b: _chunk(null, sec, name, b["text"], b["token_count"]),
         )
-        kept = ~title.rlike(X.SKIPPED_TITLE) & (tokens >= MIN_SECTION_TOKENS) & p.rlike(rf"(?imd)\A{X.SECTION}")
+        kept = (s["number"] != "") & (tokens >= MIN_SECTION_TOKENS) & ~title.rlike(X.SKIPPED_TITLE)
         return F.when(kept & (tokens > MAX_SECTION_TOKENS), packs).when(kept, whole).otherwise(none)
 
     def running(items: Column) -> Column:
@@ -73,8 +81,9 @@ def section_chunks(documents: DataFrame, key: str, text: str, separator: str = "
         .withColumn("__parts", parts)
         .withColumn("__page_ends", running(pages))
         .withColumn("__starts", F.concat(F.array(F.lit(0)), running(F.col("__parts"))))
+        .withColumn("__sections", F.transform("__parts", headed))
     )
-    chunks = F.when(F.col("__clean").rlike(pattern), F.flatten(F.transform("__parts", section))).otherwise(flat)
+    chunks = F.when(F.col("__clean").rlike(pattern), F.flatten(F.transform("__sections", section))).otherwise(flat)
     return prepared.select(key, F.posexplode(chunks).alias("chunk_index", "__c")).select(key, "chunk_index", "__c.*")
 
 
@@ -98,11 +107,13 @@ def window_chunks(documents: DataFrame, key: str, text: str, separator: str = "\
         .select(key, (F.col("__p") + 1).alias("page_number"), F.col("__z.__pages").alias("__clean"), F.col("__z.__titles").alias("__heading"))
         .where("__clean <> ''")
     )
-    windows = labelled.select(
+    # Its own step: inside the window expression the paragraphs would be cut anew for every window.
+    divided = labelled.withColumn("__paragraphs", X.paragraphs(F.col("__clean"), separator))
+    windows = divided.select(
         key,
         "page_number",
         F.substring("__heading", 1, 500).alias("section_title"),
-        F.posexplode(X.sliding(X.paragraphs(F.col("__clean"), separator))).alias("window", "__w"),
+        F.posexplode(X.sliding(F.col("__paragraphs"))).alias("window", "__w"),
     )
     text_of = F.array_join("__w", "\n\n")
     return windows.select(

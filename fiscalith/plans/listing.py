@@ -27,8 +27,11 @@ def page_rows(pages: DataFrame, key: list[str], text: str) -> DataFrame:
     following = F.get("__lines", F.col("line") + 1)
     row = F.col("__text")
 
+    # One pass of the pattern gives all of its groups.
+    found = F.split(F.regexp_replace(row, X.DATA_ROW, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", -1)
+
     def group(i: int) -> Column:
-        return F.regexp_extract(row, X.DATA_ROW, i)
+        return F.get("__groups", i - 1)
 
     title = X.stripped(group(3))
     continued = X.stripped(F.regexp_extract(following, X.CONTINUATION, 1))
@@ -36,7 +39,7 @@ def page_rows(pages: DataFrame, key: list[str], text: str) -> DataFrame:
     rest = F.regexp_replace(F.regexp_replace(X.stripped(group(5)), r"^[A-Z]\s+", ""), r"\s+[A-Z]$", "")
     number = F.upper(group(2))
     classified = number == CLASSIFIED_NUMBER
-    parsed = exploded.where(row.rlike(X.DATA_ROW)).where(~X.is_subtotal(title))
+    parsed = exploded.where(row.rlike(X.DATA_ROW)).withColumn("__groups", found).where(~X.is_subtotal(title))
     return parsed.select(
         *key,
         "__page_no",
