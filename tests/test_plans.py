@@ -190,6 +190,15 @@ def test_trends_and_gaps(spark):
     assert [r.pe_id for r in explore(elements(spark), ["Army"], text="short").collect()] == [2]
 
 
+def test_paragraphs_of_all_texts(spark, tmp_path):
+    from fiscalith.catalog import QUERIES
+
+    texts = ["plain\n\n two \t\n", "caf\u00e9\n\u00a0\u2003\nна \u2028\n\u3000", "\u00a0\n\u0085", "\U0001f600\nx", "", None, "é" * 9]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (max(1, len(t) // 4), sum(1 for p in t.split("\n") if p.strip())) for i, t in enumerate(texts) if t is not None}
+    assert {r.doc_id: (r.tokens, r.n_paragraphs) for r in QUERIES["scs20_paragraphs"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry_and_queries(spark):
     import __spark_entry__ as entry
 
