@@ -71,16 +71,25 @@ def acronym_matches(lookups: DataFrame, index: DataFrame) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "position")
 
 
+def search_text(prepared: Column, raw: Column) -> Column:
+    """What is searched for: the prepared text expanded, else normalized, else, if nothing is left of either, the text as it is."""
+    return F.coalesce(F.nullif(prepared["expanded"], F.lit("")), F.nullif(prepared["normalized"], F.lit("")), raw)
+
+
 def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutoff: float = 55.0, block: int = QUERY_BLOCK) -> DataFrame:
     """``query``, ``pe_id``, ``score`` (0-100, one decimal), ``match_on``, ``rank`` of unclassified titles close in spelling.
 
     Two comparisons, each of which keeps three times ``top_n``: the prepared query with the prepared title, and the query as it is
-    with the title as it is. The better one counts, the prepared one at equal scores. ``queries`` has a column ``query``. The queries
-    are the stated set: counted, and held against all titles ``block`` at a time.
+    with the title as it is. The better one counts, the prepared one at equal scores. A query of which preparing leaves nothing, one of
+    stop words only, is compared in lower case instead. ``queries`` has a column ``query``. The queries are the stated set: counted, and
+    held against all titles ``block`` at a time.
     """
     ship_package(elements.sparkSession)
     texts = queries.where(F.trim("query") != "").select("query").distinct()
-    prepared = texts.select("query", X.processed_query(F.col("query"))["expanded"].alias("expanded")).where("expanded <> ''")
+    prepared = texts.select("query", X.processed_query(F.col("query")).alias("__p")).select(
+        "query", search_text(F.col("__p"), F.lower("query")).alias("expanded")
+    )
+    prepared = prepared.where(X.stripped(F.col("expanded")) != "")
     titles = elements.where(~F.col("is_classified") & (F.col("program_name") != "")).select(
         "pe_id", "program_name", X.processed_query(F.col("program_name"))["expanded"].alias("expanded")
     )
@@ -127,10 +136,9 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
 def semantic_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, threshold: float = 0.35, embed=hashed_embedding) -> DataFrame:
     """``query``, ``pe_id``, ``score``, ``rank`` of unclassified titles close as vectors; ``embed`` makes a vector of a text column."""
     q = queries.where(F.trim("query") != "").select("query").distinct()
-    q = q.withColumn("__v", embed(X.processed_query(F.col("query"))["expanded"]))
-    titles = elements.where(~F.col("is_classified")).select(
-        "pe_id", embed(X.processed_query(F.col("program_name"))["expanded"]).alias("__v")
-    )
+    q = q.withColumn("__p", X.processed_query(F.col("query"))).select("query", embed(search_text(F.col("__p"), F.col("query"))).alias("__v"))
+    titles = elements.where(~F.col("is_classified")).select("pe_id", "program_name", X.processed_query(F.col("program_name")).alias("__p"))
+    titles = titles.select("pe_id", embed(search_text(F.col("__p"), F.col("program_name"))).alias("__v"))
     return top_k_cosine(q, "query", "__v", titles, "pe_id", "__v", top_n, threshold)
 
 

@@ -7,7 +7,7 @@ from fiscalith.operators.sequences import carry_forward, running_sum
 from fiscalith.operators.vectors import top_k_cosine
 from fiscalith.plans.chunking import section_chunks, window_chunks
 from fiscalith.plans.ingest import cascade, numbered, replace_documents, star_schema
-from fiscalith.plans.linking import acronym_index, acronym_lookup, fuzzy_matches, link_queries, link_two_stage
+from fiscalith.plans.linking import acronym_index, acronym_lookup, fuzzy_matches, link_queries, link_two_stage, semantic_matches
 from fiscalith.plans.listing import SAMPLE_PAGE, deduplicated, file_rows
 from fiscalith.plans.policy import search_chunks
 from fiscalith.plans.trends import agency_trends, explore, funding_gaps, latest_funding
@@ -128,6 +128,21 @@ def test_fuzzy_blocks_lose_nothing(spark):
     assert whole and whole == sorted(map(tuple, fuzzy_matches(q, elements(spark), block=1).collect()))
 
 
+def test_queries_of_stop_words_only(spark):
+    titles = spark.createDataFrame(
+        [(1, "0604114A", "Advanced Technology Development", "Army", None, False), (2, "0604115A", "Hypersonic Glide Body", "Navy", None, False)], ELEMENTS
+    )
+    asked = spark.createDataFrame([("Advanced Technology Development",), ("advanced development",), ("\t",)], "query string")
+    got = {(r.query, r.pe_id, r.score, r.match_on) for r in fuzzy_matches(asked, titles).collect()}
+    assert ("Advanced Technology Development", 1, 100.0, "original") in got
+    assert {q for q, i, *_ in got if i == 1} >= {"Advanced Technology Development", "advanced development"} and "\t" not in {g[0] for g in got}
+    near = {(r.query, r.pe_id): r.score for r in semantic_matches(asked, titles).collect()}
+    assert near["Advanced Technology Development", 1] > 0.999 and ("advanced development", 1) in near
+    linked = {r.query: (r.match_stage, r.pe_id) for r in link_queries(asked, titles).where("rank < 2").collect()}
+    assert linked["Advanced Technology Development"] == ("FUZZY", 1)
+    assert {r.query: r.match_strategy for r in link_two_stage(asked, titles).collect()}["Advanced Technology Development"] == "FUZZY"
+
+
 def test_vectors_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(80)] + [(80, None), (81, []), (82, [0.0] * 8), (83, [1.0])]
