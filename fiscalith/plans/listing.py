@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiscalith.functions import text as X
+from fiscalith.operators.rejects import R1_RECORD, split_records
 from fiscalith.plans.registry import query
 from fiscalith.sources.tables import read_table
 
@@ -125,23 +126,50 @@ def tvf01_sample_listing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
-def tvf02_listing_of_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Loaded records laid out as listing lines again and parsed back, a file each source (TVF-02, TVF-04)."""
-    from fiscalith.plans.quality import p4_records
+#: Records laid out on a page, and characters of a title that stay on its first line, at least and at most.
+PAGE_RECORDS = 50
+TITLE_LEAST, TITLE_MOST = 10, 30
+
 
-    loaded = p4_records(spark, folder).where("reason IS NULL").select("raw_id", "record.*")
+def listing_files(records: DataFrame) -> DataFrame:
+    """Records laid out as listing files: ``source_file`` and ``text``, whole files.
+
+    A file has its records by component, each component from a new page under one header that its further pages do not repeat; records
+    without a component come first, under none. Long titles go on in a continuation line, unless either part would read as a subtotal. A
+    file is gathered in one row, as ``file_rows`` reads it.
+    """
+    title = X.stripped(F.regexp_replace(F.coalesce("pe_title", F.lit("Untitled")), r"\s+", " "))
+    cut = rf"^(.{{{TITLE_LEAST},{TITLE_MOST}}}) ([A-Za-z(].+)$"
+    first, rest = F.regexp_extract("__title", cut, 1), F.regexp_extract("__title", cut, 2)
+    goes_on = (rest != "") & ~X.is_subtotal(first) & ~X.is_subtotal(rest)
     line = F.format_string(
         "  %s %s  %s   %s U  %s   %s   %s",
         F.coalesce(F.regexp_extract("line_no", "[0-9]+", 0), F.lit("0")),
         F.coalesce("pe_number", F.lit(CLASSIFIED_NUMBER)),
-        F.regexp_replace(F.coalesce("pe_title", F.lit("Untitled")), r"\s+", " "),
+        F.when(goes_on, first).otherwise(F.col("__title")),
         F.lpad(F.regexp_extract("act_code", "[0-9]+", 0), 2, "0"),
         *[F.coalesce(F.format_number(c, 0), F.lit("")) for c in _AMOUNTS],
     )
-    header = F.concat(F.lit("Appropriation: 2040A Research, Development, Test and Evaluation, "), F.coalesce("component", F.lit("")), F.lit("\n"))
-    pages = loaded.select("raw_id", F.concat(header, line).alias("text"))
-    return file_rows(pages, "raw_id", "text")
+    lines = F.concat(line, F.when(goes_on, F.concat(F.lit("\n       "), rest)).otherwise(""))
+    component = X.stripped(F.regexp_replace(F.coalesce("component", F.lit("")), r"\s+", " "))
+    header = F.concat(F.lit("Appropriation: 2040A Research, Development, Test and Evaluation, "), F.col("__component"), F.lit("\n"))
+    laid = records.withColumn("__title", title).select(
+        "source_file", component.alias("__component"), F.struct("file_line", "raw_id", lines.alias("text")).alias("__line")
+    )
+    sections = laid.groupBy("source_file", "__component").agg(F.array_sort(F.collect_list("__line"))["text"].alias("__lines"))
+    starts = F.sequence(F.lit(1), F.size("__lines"), F.lit(PAGE_RECORDS))
+    pages = F.array_join(F.transform(starts, lambda i: F.array_join(F.slice("__lines", i, PAGE_RECORDS), "\n")), "\f")
+    headed = sections.select("source_file", F.struct("__component", F.concat(F.when(F.col("__component") != "", header).otherwise(""), pages).alias("text")).alias("__section"))
+    files = headed.groupBy("source_file").agg(F.array_sort(F.collect_list("__section"))["text"].alias("__sections"))
+    return files.select("source_file", F.array_join("__sections", "\f").alias("text"))
+
+
+@query()
+def tvf02_listing_of_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Loaded records laid out as listing files again and parsed back, a file each source (TVF-02, TVF-04)."""
+    raw = read_table(spark, folder, "raw_r1_lines").withColumn("__at", F.struct("raw_id", "source_file", "file_line"))
+    loaded = split_records(raw, "__at", "line_text", R1_RECORD).where("reason IS NULL").select("__at.*", "record.*")
+    return file_rows(listing_files(loaded), "source_file", "text")
 
 
 _KEY = "fiscal_year, component, pe_number, act_code"

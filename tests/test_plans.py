@@ -37,6 +37,22 @@ def test_listing_page(spark):
     assert rows[7].component == "Army" and (rows[7].py_amount, rows[7].cy_amount, rows[7].by_amount) == (1000, 2000, 3000)
 
 
+def test_records_as_listing_files(spark, tmp_path):
+    from fiscalith.catalog import QUERIES
+
+    long = "Hypersonic Glide Body Prototype and Flight Demonstration"
+    titles = [long, "Short Title", "Next Generation Program Advanced Technology Development"]
+    rows = [
+        (i, f"f{i % 2}", i, f"2020,{('Army', 'Navy', '')[i % 3]},{600000 + i:07d}A,{titles[i % 5 % 3]},{i + 1},05,{i + 1},2,3") for i in range(400)
+    ]
+    spark.createDataFrame(rows, "raw_id bigint, source_file string, file_line int, line_text string").write.parquet(f"{tmp_path}/raw_r1_lines.parquet")
+    got = QUERIES["tvf02_listing_of_records"](spark, str(tmp_path)).collect()
+    want = {(f, ("Army", "Navy", "Unknown")[i % 3], f"{600000 + i:07d}A", titles[i % 5 % 3], i + 1, i + 1.0, 2.0, 3.0) for i, f, *_ in rows}
+    assert len(got) == 400
+    assert {(r.source_file, r.component, r.pe_number, r.pe_title, r.line_no, r.py_amount, r.cy_amount, r.by_amount) for r in got} == want
+    assert max(r.page for r in got) >= 5 and max(r.line for r in got) > 50  # pages without a header, continuation lines
+
+
 def test_deduplication_keeps_most_amounts(spark):
     rows = [(2020, "Army", "1A", "01", 2, 1.0, None, None), (2020, "Army", "1A", "01", 1, 1.0, 2.0, 3.0), (2020, "Army", "1A", "01", 0, 1.0, None, 3.0)]
     df = spark.createDataFrame(rows, "fiscal_year int, component string, pe_number string, act_code string, line_no int, py_amount double, cy_amount double, by_amount double")
