@@ -46,7 +46,7 @@ def parse_listings(
 def parse_policies(
     texts: DataFrame, existing: DataFrame | None = None, replace: bool = False, doc_types: Sequence[str] = (), years: Sequence[int] = ()
 ) -> DataFrame:
-    """Chunks of policy texts (filename, doc_type, text): acts by sections, strategies by windows.
+    """Chunks of policy texts (filename, doc_type, text): acts by sections, all others, those of no type included, by windows.
 
     Documents that ``existing`` has are skipped, or with ``replace`` swapped. The fiscal year is that of the name for acts alone.
     """
@@ -55,8 +55,9 @@ def parse_policies(
         chosen = chosen.where(F.col("doc_type").isin(*doc_types))
     if years:
         chosen = chosen.where(F.col("doc_year").isin(*years))
-    acts = section_chunks(chosen.where("doc_type = 'NDAA'"), "filename", "text")
-    others = window_chunks(chosen.where("doc_type <> 'NDAA'"), "filename", "text").select(
+    is_act = F.col("doc_type").eqNullSafe("NDAA")
+    acts = section_chunks(chosen.where(is_act), "filename", "text")
+    others = window_chunks(chosen.where(~is_act), "filename", "text").select(
         "filename",
         (F.row_number().over(Window.partitionBy("filename").orderBy("page_number", "window")) - 1).alias("chunk_index"),
         "page_number",

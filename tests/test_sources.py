@@ -203,6 +203,13 @@ def test_pipelines(spark, tmp_path):
     assert parse_policies(texts, chunks).count() == 2 and parse_policies(texts, chunks, years=[2022]).count() == 2
 
 
+def test_policies_without_a_type(spark):
+    from fiscalith.plans.pipeline import parse_policies
+
+    texts = spark.createDataFrame([("nds_2022.txt", None, "strategy words here " * 40)], "filename string, doc_type string, text string")
+    assert [(r.filename, r.doc_type, r.doc_year, r.fiscal_year, r.chunk_index) for r in parse_policies(texts).collect()] == [("nds_2022.txt", None, 2022, None, 0)]
+
+
 def test_report(spark, tmp_path):
     from fiscalith.plans.pipeline import executive_report
 
