@@ -249,15 +249,23 @@ def leaked_items(corpus: DataFrame, corpus_id: str, items: DataFrame, item_id: s
 def reparameterised_items(
     corpus: DataFrame, corpus_id: str, items: DataFrame, item_id: str, text_column: str = "text", most_slots: int = 4
 ) -> DataFrame:
-    """``corpus_id``, ``item_id``, ``exact_windows``, ``changed_windows``: leaks in the same words or with other parameters.
+    """``corpus_id``, ``item_id``, ``exact_windows``, ``changed_windows``, ``dense_windows``, ``least_slots``: leaks in the same words or
+    with other parameters.
 
     A window counts as changed if its slots are filled otherwise but consistently and at least ``WINDOW - most_slots`` of its
-    words are literal. Pairs with neither kind are left out.
+    words are literal, and as dense if it has more slots than that; ``least_slots`` is the number of slots of the changed or dense window that has
+    fewest, the smaller the surer. Pairs of no kind are left out.
     """
     hits = leaked_windows(corpus, corpus_id, items, item_id, text_column)
-    changed = ~F.col("exact") & F.col("consistent") & (F.col("n_slots") <= most_slots)
+    refilled = ~F.col("exact") & F.col("consistent")
+    changed, dense = refilled & (F.col("n_slots") <= most_slots), refilled & (F.col("n_slots") > most_slots)
     return (
         hits.groupBy(corpus_id, item_id)
-        .agg(F.count_if(F.col("exact")).alias("exact_windows"), F.count_if(changed).alias("changed_windows"))
-        .where((F.col("exact_windows") > 0) | (F.col("changed_windows") > 0))
+        .agg(
+            F.count_if(F.col("exact")).alias("exact_windows"),
+            F.count_if(changed).alias("changed_windows"),
+            F.count_if(dense).alias("dense_windows"),
+            F.min(F.when(refilled, F.col("n_slots"))).alias("least_slots"),
+        )
+        .where((F.col("exact_windows") > 0) | (F.col("changed_windows") > 0) | (F.col("dense_windows") > 0))
     )

@@ -75,3 +75,10 @@ def test_inconsistent_slots(spark):
     mixed = "a pays 5 and b pays 6 so both pay 7 in all today"
     rows = reparameterised_items(frame(spark, [(1, same), (2, mixed)]), "doc_id", frame(spark, [(1, item)], "item_id"), "item_id").collect()
     assert [r.doc_id for r in rows] == [1]
+
+
+def test_windows_dense_in_slots(spark):
+    item = "load 5 tons and 7 crates in 9 hours or 11 days for 13 dollars"
+    other = "load 6 pounds and 8 barrels in 10 minutes or 12 weeks for 14 percent"
+    rows = reparameterised_items(frame(spark, [(1, other), (2, "no such words " * 9)]), "doc_id", frame(spark, [(1, item)], "item_id"), "item_id").collect()
+    assert [(r.doc_id, r.exact_windows, r.changed_windows) for r in rows] == [(1, 0, 0)] and rows[0].dense_windows > 0 and rows[0].least_slots > 4
