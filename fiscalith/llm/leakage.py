@@ -61,15 +61,20 @@ def placeholder(word: str) -> str | None:
 _NAME_CODE = xxhash.xxh3_64_intdigest(NAME.encode())
 
 
-def name_flags(text: str, lowered: list[str]) -> list[bool]:
-    """Which words are names: capitalised, within a sentence, and neither numbers nor units; none in a text all in capitals."""
+def name_flags(text: str, lowered: list[str]) -> list[int]:
+    """Which words are names (1): capitalised, within a sentence, and neither numbers nor units; none in a text all in capitals.
+
+    A capitalised word that opens the text or a sentence may be one (2).
+    """
     found = list(_WORD.finditer(text))
     if len(found) != len(lowered) or text.isupper():
-        return [False] * len(lowered)
+        return [0] * len(lowered)
     flags, end = [], 0
     for m, low in zip(found, lowered):
-        inside = m.group()[0].isupper() and end and not _SENTENCE_END.search(text[max(0, end - 1) : m.start()])
-        flags.append(bool(inside) and placeholder(low) is None)
+        if not text[m.start()].isupper() or placeholder(low) is not None:
+            flags.append(0)
+        else:
+            flags.append(1 if end and not _SENTENCE_END.search(text[max(0, end - 1) : m.start()]) else 2)
         end = m.end()
     return flags
 
@@ -80,7 +85,7 @@ class Windows:
     def __init__(self, names: bool, codes: Codes):
         self.names, self.codes = names, codes
         self.words: list[str] = []
-        self.flags: list[bool] = []
+        self.flags: list[int] = []
         self.ends: list[int] = [0]
         self.rows: list[int] = []
 
@@ -94,7 +99,7 @@ class Windows:
             self.ends.append(len(self.words))
             self.rows.append(row)
 
-    def found(self, wanted: np.ndarray | None) -> Iterator[tuple[int, bool, int, int, list[str]]]:
+    def found(self, wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
         """``(row, named, h1, h2, slots)`` of each window, or of those whose hash is in ``wanted``."""
         n = len(self.words) - WINDOW + 1
         if n <= 0 or (wanted is not None and not len(wanted)):
@@ -106,12 +111,13 @@ class Windows:
             cut = ends[1:-1] - k
             inside[cut[cut < n]] = False
         plain = self._hashes(codes, n)
-        yield from self._matches(plain, inside, wanted, None)
+        yield from self._matches(plain, inside, wanted, 0, None)
         if self.names:
-            is_name = np.array(self.flags, dtype=bool)
-            counts = np.concatenate([[0], np.cumsum(is_name)])
-            holds = inside & (counts[WINDOW:] > counts[:-WINDOW])
-            yield from self._matches(self._hashes(np.where(is_name, np.uint64(_NAME_CODE), codes), n), holds, wanted, is_name)
+            flags = np.array(self.flags, dtype=np.int8)
+            for variant, is_name in ((1, flags == 1), (2, flags > 0)):
+                counts = np.concatenate([[0], np.cumsum(flags == variant)])
+                holds = inside & (counts[WINDOW:] > counts[:-WINDOW])
+                yield from self._matches(self._hashes(np.where(is_name, np.uint64(_NAME_CODE), codes), n), holds, wanted, variant, is_name)
 
     @staticmethod
     def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -124,8 +130,8 @@ class Windows:
         return total.view(np.int64)
 
     def _matches(
-        self, hashes: np.ndarray, use: np.ndarray, wanted: np.ndarray | None, is_name: np.ndarray | None
-    ) -> Iterator[tuple[int, bool, int, int, list[str]]]:
+        self, hashes: np.ndarray, use: np.ndarray, wanted: np.ndarray | None, variant: int, is_name: np.ndarray | None
+    ) -> Iterator[tuple[int, int, int, int, list[str]]]:
         at = np.flatnonzero(use)
         if wanted is not None:
             place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
@@ -140,7 +146,7 @@ class Windows:
                 if kind:
                     slots.append(word)
             second = xxhash.xxh3_64_intdigest(" ".join(part).encode("utf-8", "surrogatepass"), seed=1)
-            yield self.rows[o], is_name is not None, int(hashes[i]), second - (1 << 64) if second >= 1 << 63 else second, slots
+            yield self.rows[o], variant, int(hashes[i]), second - (1 << 64) if second >= 1 << 63 else second, slots
 
 
 #: Words gathered before their windows are looked at.
@@ -150,14 +156,15 @@ GATHERED = 300_000
 def template_windows(df: DataFrame, id_column: str, text_column: str, sought: np.ndarray | None = None, names: bool = True) -> DataFrame:
     """Windows of every text as templates: ``id``, ``named``, ``h1``, ``h2`` (hashes of the template) and ``slots``.
 
-    Each window comes with numbers and units replaced and, with ``names``, if it holds a name, once more with names replaced too. The
-    first kind does not depend on letter case, so windows of the same words always meet there.
+    Each window comes with numbers and units replaced (``named`` 0) and, with ``names``, if it holds a name, once more with names replaced
+    too (1), and if a capitalised word opens a text or sentence in it, with that word and the names replaced (2). The first kind does not
+    depend on letter case, so windows of the same words always meet there.
     ``sought`` (sorted) limits the output to windows of those hashes. Narrow; whole texts.
     """
     schema = T.StructType(
         [
             T.StructField("id", df.schema[id_column].dataType),
-            T.StructField("named", T.BooleanType()),
+            T.StructField("named", T.IntegerType()),
             T.StructField("h1", T.LongType()),
             T.StructField("h2", T.LongType()),
             T.StructField("slots", T.ArrayType(T.StringType())),
@@ -175,7 +182,7 @@ def template_windows(df: DataFrame, id_column: str, text_column: str, sought: np
             index, named, h1, h2, slots = zip(*rows) if rows else ((), (), (), (), ())
             columns = [
                 ids.take(pa.array(index, pa.int64())),
-                pa.array(named, pa.bool_()),
+                pa.array(named, pa.int32()),
                 pa.array(h1, pa.int64()),
                 pa.array(h2, pa.int64()),
                 pa.array(slots, pa.list_(pa.string())),

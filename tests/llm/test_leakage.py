@@ -82,3 +82,10 @@ def test_windows_dense_in_slots(spark):
     other = "load 6 pounds and 8 barrels in 10 minutes or 12 weeks for 14 percent"
     rows = reparameterised_items(frame(spark, [(1, other), (2, "no such words " * 9)]), "doc_id", frame(spark, [(1, item)], "item_id"), "item_id").collect()
     assert [(r.doc_id, r.exact_windows, r.changed_windows) for r in rows] == [(1, 0, 0)] and rows[0].dense_windows > 0 and rows[0].least_slots > 4
+
+
+def test_sentences_that_open_with_a_name(spark):
+    item = "Maria buys pears and sells them. Maria keeps the rest."
+    texts = [item.replace("Maria", "Omar"), "Omar buys pears and sells them. Elena keeps the rest."]
+    rows = reparameterised_items(frame(spark, list(enumerate(texts))), "doc_id", frame(spark, [(1, item)], "item_id"), "item_id").collect()
+    assert [(r.doc_id, r.exact_windows, r.changed_windows) for r in rows] == [(0, 0, 1)]
