@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fiscalith.llm.lookalike import look
+from fiscalith.llm.lookalike import consistent_form, look
 from fiscalith.session import cut_lineage, row_bound_holds, ship_package
 
 #: Words of a window.
@@ -86,16 +86,33 @@ class Windows:
         self.names, self.codes = names, codes
         self.words: list[str] = []
         self.flags: list[int] = []
+        self.fresh: list[bool] = []
         self.ends: list[int] = [0]
         self.rows: list[int] = []
 
     def add(self, row: int, text: str) -> None:
-        text = look(text)
-        words = _WORD.findall(text.lower())
+        """The text by its looks, and where its letters in lower case look otherwise than their looks in lower case, these too.
+
+        Capitals of other scripts can look Latin while their small letters do not, so neither order alone meets both a passage in
+        the other letter case and one with single letters exchanged.
+        """
+        shown = look(text)
+        words = _WORD.findall(shown.lower())
+        flags = name_flags(shown, words) if self.names and len(words) >= WINDOW else []
+        self._append(row, words, flags, [True] * len(words))
+        if not text.isascii():
+            others = _WORD.findall(look(consistent_form(text).lower()))
+            if others != words:
+                same = len(others) == len(words)
+                fresh = [a != b for a, b in zip(others, words)] if same else [True] * len(others)
+                self._append(row, others, flags if same else [0] * len(others), fresh)
+
+    def _append(self, row: int, words: list[str], flags: list[int], fresh: list[bool]) -> None:
         if len(words) >= WINDOW:
             self.words += words
+            self.fresh += fresh
             if self.names:
-                self.flags += name_flags(text, words)
+                self.flags += flags
             self.ends.append(len(self.words))
             self.rows.append(row)
 
@@ -110,6 +127,8 @@ class Windows:
         for k in range(1, WINDOW):  # windows that run over the end of a text
             cut = ends[1:-1] - k
             inside[cut[cut < n]] = False
+        fresh = np.concatenate([[0], np.cumsum(self.fresh)])
+        inside &= fresh[WINDOW:] > fresh[:-WINDOW]  # of a second form only what differs from the first
         plain = self._hashes(codes, n)
         yield from self._matches(plain, inside, wanted, 0, None)
         if self.names:

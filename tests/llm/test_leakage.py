@@ -89,3 +89,10 @@ def test_sentences_that_open_with_a_name(spark):
     texts = [item.replace("Maria", "Omar"), "Omar buys pears and sells them. Elena keeps the rest."]
     rows = reparameterised_items(frame(spark, list(enumerate(texts))), "doc_id", frame(spark, [(1, item)], "item_id"), "item_id").collect()
     assert [(r.doc_id, r.exact_windows, r.changed_windows) for r in rows] == [(0, 0, 1)]
+
+
+def test_other_scripts_in_other_case(spark):
+    item = "вода и трава на берегу той реки не видна нам сегодня вечером"
+    greek = "αβηκ νερο και θαλασσα στην ακρη της πολης μενει παντα βαθυ"
+    documents = [(1, item.upper()), (2, "Before. " + item.title()), (3, greek.upper()), (4, ITEM.upper().replace("B", "В").replace("M", "М")), (5, item[7:])]
+    assert found(spark, documents, [(1, item), (2, greek), (3, ITEM)]) == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 1)]
