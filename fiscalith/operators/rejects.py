@@ -15,15 +15,17 @@ from pyspark.sql import types as T
 
 from fiscalith.session import ship_package
 
-# Possessive, so that a text is read once however it is broken.
-_FIELD = r'"(?:[^"]++|"")*+"|[^",]*+'
-#: A record whose quotes all enclose whole fields.
-_SOUND = re.compile(rf"(?:{_FIELD})(?:,(?:{_FIELD}))*", re.S)
-_SPLIT = re.compile(rf"({_FIELD})(?:,|\Z)", re.S)
+#: A field wholly enclosed in quotes; possessive, so that a text is read once however it is broken.
+_ENCLOSED = re.compile(r'(?:(?<=,)|\A)"(?:[^"]++|"")*+"(?=,|\Z)', re.S)
+_UNUSED = range(0xE000, 0xF900)
 
 
 class BadRecord(Exception):
-    """Carries the reason for which a record is set aside."""
+    """Carries the reason for which a record is set aside, and what the reader said, if it was the reader."""
+
+    def __init__(self, reason: str, detail: str | None = None):
+        super().__init__(reason)
+        self.reason, self.detail = reason, detail
 
 
 @dataclass(frozen=True)
@@ -46,48 +48,37 @@ class RecordSpec:
         return T.StructType([T.StructField(f.name, self.types.get(f.name, T.StringType())) for f in self.fields])
 
 
-def assemble(text: str) -> Iterator[str]:
-    """Physical lines of ``text`` for the reader, a line with an open quote joined to those that follow it."""
-    held = ""
-    for line in text.splitlines(keepends=True) if "\n" in text or "\r" in text else [text]:
-        held += line
-        if held.count('"') % 2 == 0:
-            yield held
-            held = ""
-    if held:
-        yield held
+def assemble(text: str) -> tuple[str, dict[int, str]]:
+    """One record for the reader out of its physical lines, and what to put back into its fields.
+
+    Within quotes line breaks stay. Outside them a break is a character of its field here, which the reader does not take, so
+    characters that the text does not use stand in for it.
+    """
+    if "\n" not in text and "\r" not in text:
+        return text, {}
+    free = (c for c in _UNUSED if chr(c) not in text)
+    breaks = {ord("\n"): chr(next(free)), ord("\r"): chr(next(free))}
+    parts = text.split('"')
+    parts[::2] = [part.translate(breaks) for part in parts[::2]]
+    return '"'.join(parts), {ord(stand_in): chr(code) for code, stand_in in breaks.items()}
 
 
 def parse_record(text: str | None) -> list[str]:
-    """The fields of one record, or ``BadRecord("quoting")``.
+    """The fields of one record, or ``BadRecord("quoting")`` with what the strict reader of the standard library raised.
 
-    The strict reader of the standard library decides first; what it raises is a quoting fault unless the
-    record merely holds an unquoted line break, which is a character of its field here. A quote inside an
-    unquoted field, which that reader lets pass, is a fault as well. Null has no fields.
+    That reader decides. One fault it lets pass, a quote inside a field that is not enclosed in quotes; it is looked for
+    in what is left of an accepted record without its enclosed fields. Null and empty texts have no fields.
     """
     if text is None:
         return []
-    text = text.rstrip("\r\n")
+    record, put_back = assemble(text.rstrip("\r\n"))
     try:
-        rows = list(csv.reader(assemble(text), strict=True))
-    except csv.Error:
-        rows = []
-    if '"' in text and not _SOUND.fullmatch(text):
-        raise BadRecord("quoting")
-    if len(rows) == 1:
-        return rows[0]
-    if not text:
-        return []
-    fields, at = [], 0
-    while True:
-        m = _SPLIT.match(text, at)
-        raw = m.group(1)
-        fields.append(raw[1:-1].replace('""', '"') if raw.startswith('"') else raw)
-        if m.end() == len(text) and not m.group(0).endswith(","):
-            return fields
-        at = m.end()
-        if at == len(text):
-            return [*fields, ""]
+        fields = next(csv.reader([record], strict=True), [])
+    except csv.Error as fault:
+        raise BadRecord("quoting", str(fault)) from fault
+    if '"' in record and '"' in _ENCLOSED.sub("", record):
+        raise BadRecord("quoting", "quote inside a field that is not enclosed")
+    return [f.translate(put_back) for f in fields] if put_back else fields
 
 
 def build_row(fields: list[str], spec: RecordSpec, checks: Sequence[tuple[str, re.Pattern | None, Callable]]) -> list:
@@ -109,20 +100,21 @@ def build_row(fields: list[str], spec: RecordSpec, checks: Sequence[tuple[str, r
 
 
 def split_records(df: DataFrame, id_column: str, text_column: str, spec: RecordSpec) -> DataFrame:
-    """Every record of ``df`` as ``id_column``, ``reason`` and a ``record`` struct; nothing is dropped.
+    """Every record of ``df`` as ``id_column``, ``reason``, ``detail`` and a ``record`` struct; nothing is dropped.
 
     ``reason`` is null for a record that loads, else ``quoting``, ``columns`` or the name of the first field
-    whose value is invalid, and then ``record`` is null. One narrow pass over Arrow batches: no shuffle, memory
+    whose value is invalid, and then ``record`` is null; ``detail`` is the reader's message for ``quoting``. One narrow pass over Arrow batches: no shuffle, memory
     bounded by a batch. Null and empty texts have no fields (``columns``); repeated records are judged one by one.
     Only the two named columns are read, so others may have any name.
     """
     ship_package(df.sparkSession)
-    if id_column in ("reason", "record"):
+    if id_column in ("reason", "detail", "record"):
         raise ValueError(f"rename {id_column}: the result has a column of that name")
     schema = T.StructType(
         [
             T.StructField(id_column, df.schema[id_column].dataType),
             T.StructField("reason", T.StringType()),
+            T.StructField("detail", T.StringType()),
             T.StructField("record", spec.schema()),
         ]
     )
@@ -137,17 +129,20 @@ def split_records(df: DataFrame, id_column: str, text_column: str, spec: RecordS
         checks = [(n, None if p is None else re.compile(p), m) for n, p, m in patterns]
         for batch in batches:
             reasons: list[str | None] = []
+            details: list[str | None] = []
             records: list[dict | None] = []
             for text in batch.column(1).to_pylist():
                 try:
                     records.append(dict(zip(names, build_row(parse_record(text), spec, checks))))
                     reasons.append(None)
+                    details.append(None)
                 except BadRecord as fault:
                     records.append(None)
-                    reasons.append(str(fault))
+                    reasons.append(fault.reason)
+                    details.append(fault.detail)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(reasons, pa.string()), pa.array(records, record_type)],
-                names=[id_column, "reason", "record"],
+                [batch.column(0), pa.array(reasons, pa.string()), pa.array(details, pa.string()), pa.array(records, record_type)],
+                names=[id_column, "reason", "detail", "record"],
             )
 
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)

@@ -1,3 +1,5 @@
+import csv
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,41 @@ def test_parse_record_matches_definition():
     assert parse_record("a,b,") == ["a", "b", ""]
     with pytest.raises(BadRecord):
         parse_record('"a" ,b')
+
+
+def test_the_reader_decides(monkeypatch):
+    def refuses(lines, strict):
+        raise csv.Error("refused")
+
+    monkeypatch.setattr(csv, "reader", refuses)
+    with pytest.raises(BadRecord) as fault:
+        parse_record("a,b,c")
+    assert (fault.value.reason, fault.value.detail) == ("quoting", "refused")
+    monkeypatch.setattr(csv, "reader", lambda lines, strict: iter([["x"]]))
+    assert parse_record("a,b,c") == ["x"]
+
+
+def test_details(spark):
+    got = judge(spark, [GOOD, 'a,"b" c', 'a,"b', 'a,b"c', "a,b"])
+    assert [got[i].detail for i in range(5)] == [None, "',' expected after '\"'", "unexpected end of data", "quote inside a field that is not enclosed", None]
+
+
+@pytest.mark.parametrize(
+    "text, fields",
+    [
+        ("a\nb,c\r\nd", ["a\nb", "c\r\nd"]),
+        ('"a\nb","c\r\nd"', ["a\nb", "c\r\nd"]),
+        ('a\n,"b\n\ue000"', ["a\n", "b\n\ue000"]),
+        ("\ue001\rx,\ue000", ["\ue001\rx", "\ue000"]),
+        ('"","""",', ["", '"', ""]),
+        ("a\x00b,\x85", ["a\x00b", "\x85"]),
+    ],
+)
+def test_line_breaks_and_signs(text, fields):
+    assert parse_record(text) == fields
+
+
+@pytest.mark.parametrize("text", ['"a"\n,b', 'a\n"b"', 'a,"b"\nc', '"a\n', '"a" "b"', 'a,""b""', '"a"b"c",d'])
+def test_quoting_faults(text):
+    with pytest.raises(BadRecord):
+        parse_record(text)
