@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fiscalith.llm.leakage import leaked_items, leaked_windows, reparameterised_items
+from fiscalith.llm.leakage import leaked_items, leaked_windows, name_flags, reparameterised_items
 
 ITEM = "A retired planner recomputes the merged account while the model predicts 632 tons of ballast near North Ridge."
 
@@ -63,10 +63,27 @@ def test_other_parameters(spark):
     changed = ITEM.replace("632", "99").replace("tons", "pages").replace("North Ridge", "Port Elm")
     documents = frame(spark, [(1, ITEM), (2, changed), (3, "A quite unrelated sentence about radios and " * 3)]).withColumns({"h1": F.lit(1), "exact": F.lit("x")})
     rows = reparameterised_items(documents, "doc_id", frame(spark, [(1, ITEM)], "item_id"), "item_id").collect()
-    got = {r.doc_id: (r.exact_windows > 0, r.changed_windows > 0) for r in rows}
-    assert got == {1: (True, False), 2: (False, True)} or got == {1: (True, False), 2: (True, True)}
-    # the words before the first changed one are too few for a window, so the changed text shares none
-    assert got[2][1]
+    # Two of the nine windows end before the first changed word.
+    got = {r.doc_id: (r.exact_windows, r.changed_windows, r.dense_windows, r.share, r.rank) for r in rows}
+    assert got == {1: (9, 0, 0, 1.0, 1), 2: (2, 7, 0, 1.0, 1)}
+
+
+def test_units_and_names_by_form(spark):
+    item = "Der Bericht nennt 40 Kisten mit altem Draht die noch heute fehlen"
+    rows = reparameterised_items(
+        frame(spark, [(1, item.replace("40 Kisten", "drei Fässer")), (2, item.replace("Bericht", "Vermerk"))]), "doc_id", frame(spark, [(1, item)], "item_id"), "item_id"
+    ).collect()
+    assert sorted((r.doc_id, r.exact_windows, r.changed_windows) for r in rows) == [(1, 0, 3), (2, 1, 2)]
+    text = " ".join(f"der {w} und" for w in "Bericht Vermerk Aktenplan".split()) * 5 + " Das Haus steht in der Stadt am Fluss bei dem Wald und dem Berg"
+    assert not any(name_flags(text, [w.lower() for w in text.split()]))
+
+
+def test_runs_without_literal_words(spark):
+    table = "1 ton 2 tons 3 crates 4 miles 5 cases"
+    documents = [(1, "so: " + table + " x"), (2, table.replace("5", "6")), (3, "9 tons 8 tons 7 crates 6 miles 5 cases")]
+    assert found(spark, documents, [(1, table)]) == [(1, 1)]
+    rows = reparameterised_items(frame(spark, documents), "doc_id", frame(spark, [(1, table)], "item_id"), "item_id").collect()
+    assert [(r.doc_id, r.exact_windows) for r in rows] == [(1, 1)]
 
 
 def test_inconsistent_slots(spark):
