@@ -33,33 +33,40 @@ _AGENCY = """CASE lower(regexp_replace(agency, '[^A-Za-z]', '', 'g')) WHEN 'army
   WHEN 'defensewide' THEN 'Defense-Wide' WHEN 'dw' THEN 'Defense-Wide' WHEN 'ote' THEN 'OT&E' ELSE trim(agency) END"""
 
 _P3 = f"""
-WITH element AS (SELECT id AS row_id, min(id) OVER (PARTITION BY {_NUMBER.format('pe_number')}, {_AGENCY}) AS program_element_id
-  FROM program_elements),
-lines AS (SELECT f.id, e.program_element_id,
+WITH RECURSIVE element AS (SELECT id AS row_id, min(id) OVER (PARTITION BY {_NUMBER.format('pe_number')}, {_AGENCY}) AS program_element_id,
+    TRY_CAST(line_item_number AS BIGINT) AS line_number, TRY_CAST(act_code AS INTEGER) AS activity FROM program_elements),
+lines AS (SELECT f.id, e.program_element_id, e.line_number, e.activity,
     CAST(CASE WHEN f.fiscal_year BETWEEN 0 AND 95 THEN f.fiscal_year + 2000 WHEN f.fiscal_year BETWEEN 96 AND 99 THEN f.fiscal_year + 1900
       ELSE f.fiscal_year END AS INTEGER) AS fiscal_year,
     CASE WHEN regexp_matches(t, '^(py|prioryear)') THEN 'PY Actual' WHEN regexp_matches(t, '^(cy|currentyear)') THEN 'CY Request'
       WHEN regexp_matches(t, '^(by|budgetyear)') THEN 'BY Request' END AS funding_type,
-    CASE WHEN isfinite(f.amount_thousands) THEN f.amount_thousands END AS amount,
-    CAST(coalesce(s.document_type = 'R1', false) AS INTEGER) AS trust, f.loaded_at
+    CASE WHEN isfinite(f.amount_thousands) THEN f.amount_thousands END AS amount, s.document_type, f.loaded_at
   FROM (SELECT *, lower(regexp_replace(funding_type, '[^A-Za-z]', '', 'g')) AS t FROM funding_lines) f
   JOIN element e ON e.row_id = f.program_element_id LEFT JOIN source_documents s ON s.id = f.source_document_id),
-grouped AS (SELECT *, count(*) OVER g AS group_size,
-    row_number() OVER (PARTITION BY program_element_id, fiscal_year, funding_type
-      ORDER BY amount IS NULL, trust DESC, loaded_at DESC NULLS LAST, id) AS place
-  FROM lines WHERE fiscal_year IS NOT NULL AND funding_type IS NOT NULL
-  WINDOW g AS (PARTITION BY program_element_id, fiscal_year, funding_type))
+grouped AS (SELECT *, count(*) OVER (PARTITION BY program_element_id, fiscal_year, funding_type) AS group_size
+  FROM lines WHERE fiscal_year IS NOT NULL AND funding_type IS NOT NULL)
 """
 
-_P3_CELLS = """,
-cells AS (SELECT program_element_id, fiscal_year, funding_type, CAST(amount IS NOT NULL AS INTEGER) AS complete, trust, max(loaded_at) AS at
-  FROM grouped WHERE group_size > 1 GROUP BY ALL),
-sky AS (SELECT program_element_id, fiscal_year, funding_type, count(*) AS n FROM cells c WHERE NOT EXISTS (
-    SELECT 1 FROM cells d WHERE d.program_element_id = c.program_element_id AND d.fiscal_year = c.fiscal_year
-      AND d.funding_type = c.funding_type AND d.complete >= c.complete AND d.trust >= c.trust AND d.at >= c.at
-      AND (d.complete > c.complete OR d.trust > c.trust OR d.at > c.at))
-  GROUP BY ALL)
-"""
+_KEYS = "program_element_id, fiscal_year, funding_type"
+_BEST = """SELECT program_element_id, fiscal_year, funding_type, id AS survivor_id FROM (SELECT *, row_number() OVER (PARTITION BY program_element_id, fiscal_year,
+  funding_type ORDER BY amount IS NULL, coalesce(document_type = 'R1', false) DESC, loaded_at DESC NULLS LAST, id) AS place FROM grouped WHERE group_size > 1) WHERE place = 1"""
+
+# Candidates of each completeness and trust; layers as the longest chain of dominating candidates; values from the first candidate that has them.
+_SURVIVORS = f""",
+m AS (SELECT *, (amount IS NOT NULL)::INTEGER + (line_number IS NOT NULL)::INTEGER + (activity IS NOT NULL)::INTEGER AS complete,
+    CASE document_type WHEN 'R1' THEN 3 WHEN 'R1-AMENDED' THEN 2 WHEN 'R1-OCR' THEN 1 ELSE 0 END AS trust FROM grouped WHERE group_size > 1),
+cand AS (SELECT * FROM m WINDOW c AS (PARTITION BY {_KEYS}, complete, trust ORDER BY loaded_at DESC, id)
+  QUALIFY row_number() OVER c = 1 OR (amount IS NOT NULL AND row_number() OVER (PARTITION BY {_KEYS}, complete, trust, amount IS NULL ORDER BY loaded_at DESC, id) = 1)
+    OR (line_number IS NOT NULL AND row_number() OVER (PARTITION BY {_KEYS}, complete, trust, line_number IS NULL ORDER BY loaded_at DESC, id) = 1)
+    OR (activity IS NOT NULL AND row_number() OVER (PARTITION BY {_KEYS}, complete, trust, activity IS NULL ORDER BY loaded_at DESC, id) = 1)),
+dom AS (SELECT a.id AS upper, b.id AS lower FROM cand a JOIN cand b USING ({_KEYS}) WHERE a.complete >= b.complete AND a.trust >= b.trust AND a.loaded_at >= b.loaded_at
+    AND (a.complete > b.complete OR a.trust > b.trust OR a.loaded_at > b.loaded_at)),
+chain AS (SELECT id, 1 AS layer FROM cand UNION SELECT lower, layer + 1 FROM chain JOIN dom ON upper = id),
+placed AS (SELECT cand.*, l.layer, row_number() OVER (PARTITION BY {_KEYS} ORDER BY l.layer, complete DESC, trust DESC, loaded_at DESC, cand.id) AS place
+  FROM cand JOIN (SELECT id, max(layer) AS layer FROM chain GROUP BY id) l USING (id))
+SELECT {_KEYS}, max(group_size) AS group_size, arg_min(id, place) AS survivor_id, CAST(count(*) FILTER (WHERE layer = 1) AS INTEGER) AS skyline_size,
+  {', '.join(f"arg_min({c}, place) FILTER (WHERE {c} IS NOT NULL) AS {n}, arg_min(id, place) FILTER (WHERE {c} IS NOT NULL) AS {n}_from" for c, n in (("amount", "amount_thousands"), ("line_number", "line_number"), ("activity", "activity")))}
+FROM placed GROUP BY {_KEYS}"""
 
 
 def _quoted(s: str) -> str:
@@ -92,13 +99,8 @@ ORACLES = {
     "p1_found": _P1 + "SELECT pe_number, chunk_id FROM ranked WHERE position <= 10",
     "p1_top_chunks": _P1 + "SELECT pe_number, CAST(position AS INTEGER) AS position, chunk_id, score FROM ranked WHERE position <= 10",
     "p2_found": _P2,
-    "p3_found": _P3
-    + "SELECT program_element_id, fiscal_year, funding_type, id AS survivor_id FROM grouped WHERE group_size > 1 AND place = 1",
-    "p3_survivors": _P3
-    + _P3_CELLS
-    + """SELECT g.program_element_id, g.fiscal_year, g.funding_type, g.group_size, g.id AS survivor_id, CAST(sky.n AS INTEGER) AS skyline_size,
-      g.amount AS amount_thousands, CASE WHEN g.amount IS NOT NULL THEN g.id END AS amount_thousands_from
-      FROM grouped g JOIN sky USING (program_element_id, fiscal_year, funding_type) WHERE group_size > 1 AND place = 1""",
+    "p3_found": _P3 + _BEST,
+    "p3_survivors": _P3 + _SURVIVORS,
     "p7_found": f"WITH d AS ({_windows('documents', 'doc_id')}), e AS ({_windows('eval_items', 'item_id')}) "
     "SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k)",
     "p8_found": f"WITH d AS (SELECT doc_id, text, {_look('text')} AS f FROM documents WHERE text IS NOT NULL) "

@@ -62,19 +62,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def duplicate_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Funding lines with the element, year and type they belong to and the trust of their source."""
+    """Funding lines with the element, year and type they belong to, their source's type and what their own row of the element says."""
     elements = read_table(spark, folder, "program_elements").select(
         F.col("id").alias("row_id"),
         canonical_pe_number(F.col("pe_number")).alias("number"),
         canonical_agency(F.col("agency")).alias("agency"),
+        F.col("line_item_number").try_cast("bigint").alias("line_number"),
+        F.col("act_code").try_cast("int").alias("activity"),
     )
     first = elements.groupBy("number", "agency").agg(F.min("row_id").alias("program_element_id"))
     element = elements.join(first, elements.number.eqNullSafe(first.number) & elements.agency.eqNullSafe(first.agency)).select(
-        "row_id", "program_element_id"
-    )
-    sources = read_table(spark, folder, "source_documents").select(
-        F.col("id").alias("source_document_id"), F.col("document_type").eqNullSafe("R1").cast("int").alias("trust")
+        "row_id", "program_element_id", "line_number", "activity"
     )
+    sources = read_table(spark, folder, "source_documents").select(F.col("id").alias("source_document_id"), "document_type")
     lines = read_table(spark, folder, "funding_lines").select(
         "id",
         F.col("program_element_id").alias("row_id"),
@@ -91,14 +91,22 @@ def duplicate_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LINE_KEYS = ["program_element_id", "fiscal_year", "funding_type"]
+#: Types of source documents by trust, the least first.
+TRUST = ["R1-DRAFT", "R1-OCR", "R1-AMENDED", "R1"]
+
+
 def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    lines = duplicate_lines(spark, folder)
-    keys = ["program_element_id", "fiscal_year", "funding_type"]
-    return best_representatives(lines, keys, ["amount_thousands"], "loaded_at", F.col("trust"), 2, "id")
+    """Field by field: the most complete line survives, and lacks are made good from lines of later layers (of other rows of the element)."""
+    trust = F.array_position(F.array(*map(F.lit, TRUST)), F.coalesce("document_type", F.lit(""))) - 1
+    values = ["amount_thousands", "line_number", "activity"]
+    return best_representatives(duplicate_lines(spark, folder), LINE_KEYS, values, "loaded_at", trust, len(TRUST), "id")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_survivors(spark, folder).select("program_element_id", "fiscal_year", "funding_type", "survivor_id")
+    trust = F.col("document_type").eqNullSafe("R1").cast("int")
+    best = best_representatives(duplicate_lines(spark, folder), LINE_KEYS, ["amount_thousands"], "loaded_at", trust, 2, "id")
+    return best.select(*LINE_KEYS, "survivor_id")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

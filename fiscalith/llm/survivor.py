@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: More than any 64-bit identifier, so that recency decides before it when both are packed into one number.
+_STEP = Decimal(10**19)
+
 
 def best_representatives(
     df: DataFrame,
@@ -18,64 +21,70 @@ def best_representatives(
     trust_levels: int,
     identifier: str,
     least_size: int = 2,
+    weighed: Sequence[str] | None = None,
 ) -> DataFrame:
     """The best record of each group of equal ``keys`` that has at least ``least_size`` records.
 
     Columns: the keys, ``group_size``, ``survivor_id``, ``skyline_size``, each of ``values`` (of the survivor, nulls filled)
     and ``<value>_from`` (the identifier it was taken from).
 
-    Three merits are compared: completeness (how many ``values`` are there), trust (``0 .. trust_levels - 1``) and
-    recency. A record dominates another if it is at least as good in all three and better in one. Records of
-    equal trust with the same values filled differ only in recency, so of each such cell only the latest (of equals
-    the smallest identifier) can be on the skyline or be the one a value is taken from; the cells, ``trust_levels * 2 **
-    len(values)`` of them, are aggregated with map-side combining, which leaves a bounded number of candidates a
-    group whatever the size of the hottest one, and one shuffle. Among the candidates, layer 1 is the skyline, layer 2
-    the skyline of the rest, and so on. The survivor is the first of layer 1 by completeness, then trust,
-    recency and smaller identifier; a value it lacks is taken from the first candidate that has it, by layer and then by
-    the same order.
+    Three merits are compared: completeness (how many of the ``weighed`` values are there; all ``values`` unless given), trust (``0 ..
+    trust_levels - 1``) and recency. A record dominates another if it is at least as good in all three and better in one. Of the records of equal
+    completeness and trust the candidates are the latest (of equals the smallest identifier), the only one that can be on the skyline, and
+    for each value the latest that has it. Layer 1 is the skyline of the candidates, layer 2 the skyline of the rest, and so on. The survivor
+    is the first of layer 1 by completeness, then trust, recency and smaller identifier; a value it lacks is taken from the first candidate that has
+    it, by layer and then by the same order.
+
+    A group is first aggregated by completeness and trust with map-side combining, into at most ``trust_levels * (len(weighed) + 1)`` rows
+    however hot it is, and these rows then into one: nothing depends on how many ways there are to fill the values. Recency and
+    identifier are compared as one number of 128 bits, so for values of fixed width (no strings) both are hash aggregates.
 
     Null keys form groups like other values (filter them beforehand if they should not). Null values are gaps; NaN in a
     ``values`` column must be null already. A null or out-of-range trust is the lowest, null recency the
-    earliest. Repeated rows count as records each. Other columns, whatever their names, are ignored.
+    earliest. Repeated rows count as records each. Other columns, whatever their names, are ignored. Identifiers are whole numbers.
     """
-    if trust_levels * 2 ** len(values) > 512:
-        raise ValueError("too many cells: choose fewer values or trust levels")
+    n = len(values)
+    counted = list(values if weighed is None else weighed)
+    unknown = [v for v in counted if v not in values]
+    if unknown:
+        raise ValueError(f"weighed but no values: {unknown}")
     level = F.when(trust.between(0, trust_levels - 1), trust.cast("int")).otherwise(0)
+    full = sum((F.col(v).isNotNull().cast("int") for v in counted), F.lit(0))
+    key_names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(
-        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(name) for k, name in zip(keys, key_names)],
         level.alias("trust"),
+        full.alias("full"),
         F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(-(2**63))).alias("at"),
         F.col(identifier).alias("id"),
         *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
     )
-    n = len(values)
-    wanted = F.struct("at", (-F.col("id")).alias("neg"), F.struct(*[f"v{i}" for i in range(n)]).alias("vs"))
-    cells = []
-    for t, mask in product(range(trust_levels), product([False, True], repeat=n)):
-        inside = F.col("trust") == t
-        for i, there in enumerate(mask):
-            inside &= F.col(f"v{i}").isNotNull() if there else F.col(f"v{i}").isNull()
-        name = f"c{len(cells)}"
-        cells.append((name, t, sum(mask), F.max(F.when(inside, wanted)).alias(name)))
-    groups = rows.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(
-        F.count(F.lit(1)).alias("size"), *[c[3] for c in cells]
+    packed = F.col("at").cast("decimal(19,0)") * F.lit(_STEP) - F.col("id").cast("decimal(20,0)")
+    rows = rows.withColumn("place", packed.cast("decimal(38,0)"))
+    kinds = [rows.schema[f"v{i}"].dataType.simpleString() for i in range(n)]
+    id_kind = rows.schema["id"].dataType.simpleString()
+    latest = []
+    for i in range(n):  # of each value the latest record that has it
+        place = F.when(F.col(f"v{i}").isNotNull(), F.col("place"))
+        latest += [F.max_by("id", place).alias(f"i{i}"), F.max(F.when(F.col(f"v{i}").isNotNull(), F.col("at"))).alias(f"a{i}"), F.max_by(f"v{i}", place).alias(f"w{i}")]
+    cells = rows.groupBy(*key_names, "full", "trust").agg(
+        F.count(F.lit(1)).alias("size"), F.max("at").alias("at"), F.max_by("id", "place").alias("id"), *latest
+    )
+
+    record = f"struct<full:int,trust:int,at:bigint,neg:{id_kind},{','.join(f'v{i}:{k}' for i, k in enumerate(kinds))}>"
+
+    def candidate(at: Column, who: Column) -> Column:
+        """A record and those of its values that it is the latest of its cell to have."""
+        own = [F.when(F.col(f"i{i}") == who, F.col(f"w{i}")).alias(f"v{i}") for i in range(n)]
+        return F.when(who.isNotNull(), F.struct("full", "trust", at.alias("at"), (-who).alias("neg"), *own).cast(record))
+
+    of_cell = F.array_distinct(F.array_compact(F.array(candidate(F.col("at"), F.col("id")), *[candidate(F.col(f"a{i}"), F.col(f"i{i}")) for i in range(n)])))
+    groups = (
+        cells.select(*key_names, "size", of_cell.alias("of_cell"))
+        .groupBy(*key_names)
+        .agg(F.sum("size").alias("size"), F.flatten(F.collect_list("of_cell")).alias("all"))
+        .where(F.col("size") >= least_size)
     )
-    groups = groups.where(F.col("size") >= least_size)
-
-    def candidate(name: str, t: int, full: int) -> Column:
-        return F.when(
-            F.col(name).isNotNull(),
-            F.struct(
-                F.lit(full).alias("full"),
-                F.lit(t).alias("trust"),
-                F.col(f"{name}.at").alias("at"),
-                F.col(f"{name}.neg").alias("neg"),
-                F.col(f"{name}.vs").alias("vs"),
-            ),
-        )
-
-    # Best first: a record is dominated only by records before it.
-    ordered = F.reverse(F.array_sort(F.array_compact(F.array(*[candidate(c[0], c[1], c[2]) for c in cells]))))
 
     def dominates(a: Column, b: Column) -> Column:
         no_worse = (a["full"] >= b["full"]) & (a["trust"] >= b["trust"]) & (a["at"] >= b["at"])
@@ -86,10 +95,9 @@ def best_representatives(
         above = F.transform(F.filter(done, lambda y: dominates(y["c"], x)), lambda y: y["layer"])
         return F.coalesce(F.array_max(above), F.lit(0)) + 1
 
-    element = "struct<layer:int,c:struct<full:int,trust:int,at:bigint,neg:{},vs:struct<{}>>>".format(
-        rows.schema["id"].dataType.simpleString(),
-        ",".join(f"v{i}:{rows.schema[f'v{i}'].dataType.simpleString()}" for i in range(n)),
-    )
+    # Best first: a record is dominated only by records before it. Only the merits and the identifier decide.
+    ordered = F.reverse(F.array_sort("all"))
+    element = f"struct<layer:int,c:{record}>"
     layered = F.aggregate(
         F.col("ordered"),
         F.array().cast(f"array<{element}>"),
@@ -97,20 +105,17 @@ def best_representatives(
     )
     # Stable by construction: within a layer the lexicographic order is kept by ``place``.
     by_layer = F.array_sort(
-        F.transform(
-            layered,
-            lambda y, i: F.struct(y["layer"].alias("layer"), i.alias("place"), (-y["c"]["neg"]).alias("id"), y["c"]["vs"].alias("vs")),
-        )
+        F.transform(layered, lambda y, i: F.struct(y["layer"].alias("layer"), i.alias("place"), (-y["c"]["neg"]).alias("id"), y["c"].alias("c")))
     )
     result = groups.select("*", ordered.alias("ordered")).select("*", by_layer.alias("layers"))
 
     def taken(i: int) -> Column:
-        return F.get(F.filter(F.col("layers"), lambda y: y["vs"][f"v{i}"].isNotNull()), 0)
+        return F.get(F.filter(F.col("layers"), lambda y: y["c"][f"v{i}"].isNotNull()), 0)
 
     return result.select(
-        *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)],
+        *[F.col(name).alias(k) for k, name in zip(keys, key_names)],
         F.col("size").alias("group_size"),
         F.get("layers", 0)["id"].alias("survivor_id"),
         F.size(F.filter("layers", lambda y: y["layer"] == 1)).alias("skyline_size"),
-        *[x for i, v in enumerate(values) for x in (taken(i)["vs"][f"v{i}"].alias(v), taken(i)["id"].alias(f"{v}_from"))],
+        *[x for i, v in enumerate(values) for x in (taken(i)["c"][f"v{i}"].alias(v), taken(i)["id"].alias(f"{v}_from"))],
     )

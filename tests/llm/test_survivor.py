@@ -11,26 +11,27 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def brute(rows, levels):
-    """One candidate a cell, peeled layer by layer."""
+    """The latest record of each completeness and trust, and of those with each value; peeled layer by layer."""
     out = {}
     for k in {r[0] for r in rows}:
-        mine = [r for r in rows if r[0] == k]
+        mine = []
+        for _, a, b, at, trust, i in (r for r in rows if r[0] == k):
+            when = (at - T0).total_seconds() if at else -1e18
+            mine.append(((a is not None) + (b is not None), trust if trust is not None and 0 <= trust < levels else 0, when, -i, a, b))
         if len(mine) < 2:
             continue
-        cells = {}
-        for _, a, b, at, trust, i in mine:
-            t = trust if trust is not None and 0 <= trust < levels else 0
-            when = (at - T0).total_seconds() if at else -1e18
-            cell = (t, a is not None, b is not None)
-            c = ((a is not None) + (b is not None), t, when, -i, a, b)
-            if cell not in cells or c[2:4] > cells[cell][2:4]:
-                cells[cell] = c
-        rest, layers, n = list(cells.values()), [], 0
+        rest = set()
+        for cell in {r[:2] for r in mine}:
+            same = [r for r in mine if r[:2] == cell]
+            for some in (same, [r for r in same if r[4] is not None], [r for r in same if r[5] is not None]):
+                if some:
+                    rest.add(max(some, key=lambda r: r[2:4]))
+        layers, n = [], 0
         while rest:
             sky = [x for x in rest if not any(all(p >= q for p, q in zip(y[:3], x[:3])) and y[:3] != x[:3] for y in rest)]
             layers += sorted(sky, key=lambda c: tuple(-v for v in c[:4]))
             n = n or len(sky)
-            rest = [x for x in rest if x not in sky]
+            rest -= set(sky)
         fill = lambda j: next(((c[j], -c[3]) for c in layers if c[j] is not None), (None, None))
         out[k] = (len(mine), -layers[0][3], n, *fill(4), *fill(5))
     return out
@@ -76,4 +77,34 @@ def test_empty_and_repeated(spark):
     r = best_representatives(spark.createDataFrame(rows, SCHEMA), ["k"], ["a"], "at", F.col("trust"), 2, "id").first()
     assert (r.group_size, r.survivor_id) == (2, 1)
     with pytest.raises(ValueError):
-        best_representatives(spark.createDataFrame([], SCHEMA), ["k"], ["a"], "at", F.col("trust"), 1000, "id")
+        best_representatives(spark.createDataFrame([], SCHEMA), ["k"], ["a"], "at", F.col("trust"), 2, "id", weighed=["b"])
+
+
+def test_many_values(spark):
+    names = [f"c{j}" for j in range(12)]
+    schema = "k int, " + ", ".join(f"{c} int" for c in names) + ", at timestamp_ntz, trust int, id bigint"
+    rows = [(i % 7, *[i * 100 + j if (i + j) % 5 == 0 else None for j in range(12)], T0 + dt.timedelta(seconds=i), i % 4, i) for i in range(700)]
+    df = spark.createDataFrame(rows, schema)
+    out = best_representatives(df, ["k"], names, "at", F.col("trust"), 4, "id")
+    got = {r.k: r for r in out.collect()}
+    for k, r in got.items():
+        mine = [x for x in rows if x[0] == k]
+        full = lambda x: sum(v is not None for v in x[1:13])
+        best = max(mine, key=lambda x: (full(x), x[14], x[13], -x[15]))
+        assert r.survivor_id == best[15] and r.group_size == len(mine)
+        for j, c in enumerate(names):
+            source = next(x for x in mine if x[15] == r[f"{c}_from"])
+            assert r[c] == source[1 + j] is not None and (best[1 + j] is None or source is best)
+
+
+def test_hash_aggregates(spark):
+    df = spark.createDataFrame([], "k int, a double, b int, at timestamp_ntz, trust int, id bigint")
+    plan = best_representatives(df, ["k"], ["a", "b"], "at", F.col("trust"), 2, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_weighed_values_alone_decide(spark):
+    rows = [("k", 1.0, None, T0, 1, 1), ("k", None, "x", T0 + dt.timedelta(1), 1, 2), ("k", 3.0, "y", T0, 0, 3)]
+    r = best_representatives(spark.createDataFrame(rows, SCHEMA), ["k"], ["a", "b"], "at", F.col("trust"), 2, "id", weighed=["a"]).first()
+    # Line 3 is dominated by line 1, line 2 by none: it is the latest.
+    assert (r.survivor_id, r.skyline_size, r.a_from, r.b, r.b_from) == (1, 2, 1, "x", 2)
