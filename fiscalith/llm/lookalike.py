@@ -16,35 +16,73 @@ from pyspark.sql import types as T
 
 from fiscalith.session import cut_lineage, ship_package
 
-# Letters drawn alike, by script. Each string stands beside the Latin letters it looks like.
-_LATIN_OF_CYRILLIC = "ABCEGHIIJKMOPQSTVWXYYacdehijlopqsvwxyy"
-_CYRILLIC = "АВСЕԌНІӀЈКМОРԚЅТѴԜХУҮасԁеһіјӏорԛѕѵԝхуү"
-_LATIN_OF_GREEK = "ABEHIKMNOPTXYZovcj"
-_GREEK = "ΑΒΕΗΙΚΜΝΟΡΤΧΥΖονϲϳ"
-_LATIN_OF_LATIN = "ga"
-_OTHER_LATIN = "ɡɑ"
+# Letters drawn alike, by script: the letters, and below them the Latin ones that they look like.
+_ALIKE = {
+    "CYRILLIC": (
+        "АВСЕԌНІӀЈКМОРԚЅТѴԜХУҮасԁеһіјӏорԛѕѵԝхуү",
+        "ABCEGHIIJKMOPQSTVWXYYacdehijlopqsvwxyy",
+    ),
+    "GREEK": (
+        "ΑΒΕΗΙΚΜΝΟΡΤΧΥΖονϲϳ",
+        "ABEHIKMNOPTXYZovcj",
+    ),
+    "ARMENIAN": (
+        "ՕՍՏօսհոցզյ",
+        "OUSouhngqj",
+    ),
+    "CHEROKEE": (
+        "ᎠᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏙᏚᏞᏟᏢᏦᏴ",
+        "DTAJEWMHYGZRVSLCPKB",
+    ),
+    "LISU": (
+        "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ",
+        "BPDTGKJCZFMNLSRVHWXYAEIOU",
+    ),
+    "LATIN": (
+        "ɡɑ",
+        "ga",
+    ),
+}
+# Greek letters that are like these Latin ones in some typefaces only. They count as such in a word that Greek cannot write.
+_SOMETIMES = ("αρσυ", "apou")
 # Signs drawn alike, and signs of category Cf that do show.
-_SIGNS = {0x2010: "-", 0x2011: "-", 0x2024: ".", 0x2044: "/", 0x02BC: "’", 0x00B5: "μ"}
+_SIGNS = {
+    0x00B5: "μ",
+    0x01C0: "|",
+    0x01C3: "!",
+    0x02BC: "’",
+    0x055A: "’",
+    0x0589: ":",
+    0x2010: "-",
+    0x2011: "-",
+    0x2024: ".",
+    0x2044: "/",
+    0x2215: "/",
+    0x2216: "\\",
+    0x2223: "|",
+    0x2236: ":",
+    0x29F8: "/",
+    0xA789: ":",
+}
+# Blocks whose one-character compatibility forms are drawn as what they stand for (numerals, radicals, letter-like symbols).
+_SAME_DRAWING = (range(0x2135, 0x2139), range(0x2160, 0x2180), range(0x2E80, 0x2FE0), range(0x3038, 0x303B))
 _SHOWN_FORMATS = frozenset([*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD])
 _HIDDEN_OTHERS = frozenset([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
 
 LATIN, CYRILLIC, GREEK = "LATIN", "CYRILLIC", "GREEK"
 
 #: What a letter looks like: its Latin prototype, itself for a letter without look-alikes.
-PROTOTYPE = {
-    **dict(zip(_CYRILLIC, _LATIN_OF_CYRILLIC)),
-    **dict(zip(_GREEK, _LATIN_OF_GREEK)),
-    **dict(zip(_OTHER_LATIN, _LATIN_OF_LATIN)),
-}
+PROTOTYPE = {x: p for letters, latin in _ALIKE.values() for x, p in zip(letters, latin)}
 
 _TO_PROTOTYPE = str.maketrans(PROTOTYPE)
 _ASCII = frozenset(map(chr, range(128)))
 
 #: How a prototype is written in each script that has the look; the first of several is used.
 SPELLINGS: dict[str, dict[str, str]] = {}
-for _letters, _latin, _script in ((_CYRILLIC, _LATIN_OF_CYRILLIC, CYRILLIC), (_GREEK, _LATIN_OF_GREEK, GREEK)):
+for _script, (_letters, _latin) in _ALIKE.items():
     for _x, _p in zip(_letters, _latin):
-        SPELLINGS.setdefault(_p, {LATIN: _p}).setdefault(_script, _x)
+        if _script != LATIN:
+            SPELLINGS.setdefault(_p, {LATIN: _p}).setdefault(_script, _x)
 
 _ALL = frozenset(["*"])
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
@@ -69,7 +107,7 @@ def _fold_sign(code: int) -> str:
         return "".join(_fold_sign(int(x, 16)) for x in rest.split())
     if tag == "compat":
         parts = [int(x, 16) for x in rest.split()]
-        if len(parts) > 1 and parts[0] != 0x20:
+        if (len(parts) > 1 and parts[0] != 0x20) or any(code in block for block in _SAME_DRAWING):
             return "".join(map(_fold_sign, parts))
     return ch
 
@@ -127,9 +165,21 @@ def spell(token: str, script: str) -> str:
     return "".join(out)
 
 
+_SOMETIMES_LATIN = str.maketrans(*_SOMETIMES)
+_ANY_SOMETIMES = re.compile(f"[{_SOMETIMES[0]}]")
+
+
+def _foreign(match: re.Match) -> str:
+    """A token in which Greek letters stand for Latin ones: Greek cannot write the others of it."""
+    token = match.group()
+    other = any(c not in _SOMETIMES[0] and (s := scripts_of(c)) is not _ALL and GREEK not in s for c in token)
+    return token.translate(_SOMETIMES_LATIN) if other else token
+
+
 def _separated(text: str) -> str:
-    """Signs folded, nothing hidden, accents apart from their letters."""
-    return unicodedata.normalize("NFD", text.translate(_FOLD))
+    """Signs folded, nothing hidden, accents apart from their letters, no Greek letters among others."""
+    text = unicodedata.normalize("NFD", text.translate(_FOLD))
+    return _TOKEN.sub(_foreign, text) if _ANY_SOMETIMES.search(text) else text
 
 
 @lru_cache(maxsize=1 << 16)
@@ -238,7 +288,7 @@ def form_fingerprints(df: DataFrame, id_column: str, text_column: str) -> DataFr
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
 
 
-def lookalike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def lookalike_rows(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Rows whose look is written in two ways or more: ``id`` with its four fingerprint halves.
 
     Fingerprints are made once, being the costly part, and written down as 40 bytes a row. Then two shuffles of these rows. Whether a look has several spellings is an aggregate combined on
@@ -254,18 +304,42 @@ def lookalike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFr
     return prints.join(several, ["f1", "f2"], "left_semi")
 
 
-def lookalike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def lookalike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``id_column``, ``class_id``, ``class_size``, ``spellings`` and ``links`` of each row that looks like a row of other characters.
+
+    A class holds all rows of one look; its id is the smallest of theirs. ``links`` is with how many rows of the class a row differs in characters:
+    the pairs of ``lookalike_pairs`` that it is in, counted without making them. Rows repeated under one id count each. Texts that are null or show
+    nothing are in no class. Both aggregates are combined on the map side; nothing is gathered by class.
+    """
+    rows = cut_lineage(lookalike_rows(df, id_column, text_column))
+    texts = rows.groupBy("f1", "f2", "t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    classes = texts.groupBy("f1", "f2").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("spellings"))
+    about = texts.drop("least").join(classes, ["f1", "f2"]).drop("f1", "f2")
+    return rows.select("id", "t1", "t2").join(about, ["t1", "t2"]).select(
+        F.col("id").alias(id_column), "class_id", "class_size", "spellings", (F.col("class_size") - F.col("copies")).alias("links")
+    )
+
+
+#: Spellings of one look that one task links with the others at most, about.
+SPELLINGS_A_TASK = 1000
+
+
+def lookalike_pairs(df: DataFrame, id_column: str, text_column: str, at_once: int = SPELLINGS_A_TASK) -> DataFrame:
     """Pairs ``(<id>_a, <id>_b)``, a < b, of rows whose texts look the same but differ in characters.
 
     Links are made between distinct spellings of a look, never between copies of one, and only then handed on
     to the rows that hold those spellings: a hot group of exact copies costs as many rows as it has links to other
-    texts. Texts that are null or show nothing pair with none. Fingerprints have 128 bits.
+    texts. The spellings of a look that has many are dealt out to as many tasks as it takes for ``at_once`` of them in each, which
+    all get the others. Texts that are null or show nothing pair with none. Fingerprints have 128 bits.
     """
-    rows = cut_lineage(lookalike_classes(df, id_column, text_column))
+    rows = cut_lineage(lookalike_rows(df, id_column, text_column))
     spellings = rows.select("f1", "f2", "t1", "t2").distinct()
-    other = spellings.select("f1", "f2", F.col("t1").alias("u1"), F.col("t2").alias("u2"))
+    shares = spellings.groupBy("f1", "f2").agg(F.ceil(F.count(F.lit(1)) / at_once).cast("int").alias("shares"))
+    spellings = spellings.join(shares, ["f1", "f2"])
+    mine = spellings.withColumn("share", F.pmod("t1", "shares").cast("int")).drop("shares")
+    other = spellings.select("f1", "f2", F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     before = (F.col("t1") < F.col("u1")) | ((F.col("t1") == F.col("u1")) & (F.col("t2") < F.col("u2")))
-    links = spellings.join(other, ["f1", "f2"]).where(before).select("t1", "t2", "u1", "u2")
+    links = mine.join(other, ["f1", "f2", "share"]).where(before).select("t1", "t2", "u1", "u2")
     left = rows.select("t1", "t2", F.col("id").alias("x"))
     right = rows.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("id").alias("y"))
     return (

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from fiscalith.llm.lookalike import _SIGNS, PROTOTYPE
+
 # Fixed values of the dirty tables, written as plain SQL.
 _NUMBER = """(CASE WHEN regexp_matches({0}, '[0-9]') THEN
   lpad(regexp_extract(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+'),
@@ -75,15 +79,26 @@ def _quoted(s: str) -> str:
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
-_ALIKE = "АВСЕНІЈКМОРЅТХУԜԚасеһіјӏорԛѕԝхуԁёЁїЇΑΒΕΗΙΚΜΝΟΡΤΧΥΖονɡ‐‑K"
-_LATIN = "ABCEHIJKMOPSTXYWQacehijlopqswxydëËïÏABEHIKMNOPTXYZovg--K"
 _BLANKS = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 
 
+def _alike() -> dict[str, str]:
+    """Letters with accents included, and signs, by what they look like, for texts with accents composed."""
+    out = dict(PROTOTYPE)
+    for ch in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))):
+        shown = unicodedata.normalize("NFC", unicodedata.normalize("NFD", ch).translate(str.maketrans(PROTOTYPE)))
+        if shown != ch and len(shown) == 1:
+            out[ch] = shown
+    return out | {chr(code): sign for code, sign in _SIGNS.items()}
+
+
+_FROM, _TO = ("".join(x) for x in zip(*_alike().items()))
+
+
 def _look(column: str) -> str:
     """The look of a text as SQL: hidden signs out, one width, accents composed, look-alikes by their Latin letter."""
     x = f"regexp_replace({column}, '[\\x{{ad}}\\x{{34f}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g')"
-    x = f"translate(nfc_normalize({x}), {_quoted(_WIDE + _ALIKE + _BLANKS)}, {_quoted(_NARROW + _LATIN + ' ' * len(_BLANKS))})"
+    x = f"translate(nfc_normalize({x}), {_quoted(_WIDE + _FROM + _BLANKS)}, {_quoted(_NARROW + _TO + ' ' * len(_BLANKS))})"
     for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         x = f"replace({x}, '{joined}', '{letters}')"
     return f"nfc_normalize({x})"
@@ -95,6 +110,8 @@ def _windows(table: str, key: str) -> str:
         SELECT {key}, regexp_extract_all(lower({_look('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL))"""
 
 
+_FORMS = f"f AS (SELECT doc_id, text, {_look('text')} AS f FROM documents WHERE text IS NOT NULL)"
+
 ORACLES = {
     "p1_found": _P1 + "SELECT pe_number, chunk_id FROM ranked WHERE position <= 10",
     "p1_top_chunks": _P1 + "SELECT pe_number, CAST(position AS INTEGER) AS position, chunk_id, score FROM ranked WHERE position <= 10",
@@ -103,7 +120,9 @@ ORACLES = {
     "p3_survivors": _P3 + _SURVIVORS,
     "p7_found": f"WITH d AS ({_windows('documents', 'doc_id')}), e AS ({_windows('eval_items', 'item_id')}) "
     "SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k)",
-    "p8_found": f"WITH d AS (SELECT doc_id, text, {_look('text')} AS f FROM documents WHERE text IS NOT NULL) "
-    "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text "
+    "p8_found": f"WITH {_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text "
     "WHERE regexp_matches(a.f, '[^\\s\\x{85}\\p{Z}]')",
+    "p8_classes": f"""WITH {_FORMS}, c AS (SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size, count(*) OVER w - count(*) OVER (PARTITION BY f, text) AS links, f
+        FROM f WHERE regexp_matches(f, '[^\\s\\x{{85}}\\p{{Z}}]') WINDOW w AS (PARTITION BY f))
+      SELECT doc_id, class_id, class_size, spellings, links FROM c JOIN (SELECT f, count(DISTINCT text) AS spellings FROM f GROUP BY f) s USING (f) WHERE links > 0""",
 }

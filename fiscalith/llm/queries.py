@@ -15,7 +15,7 @@ from fiscalith.functions.identifiers import (
 )
 from fiscalith.llm.encoding import decode_ids, encode_texts
 from fiscalith.llm.leakage import leaked_items, reparameterised_items
-from fiscalith.llm.lookalike import lookalike_pairs, normalize_texts
+from fiscalith.llm.lookalike import lookalike_classes, lookalike_pairs, normalize_texts
 from fiscalith.llm.splitting import split_texts, token_chars
 from fiscalith.llm.survivor import best_representatives
 from fiscalith.llm.topn import top_n_per_group
@@ -136,6 +136,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(read_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike_classes(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -151,5 +155,6 @@ QUERIES = {
         p7_reparameterised,
         p8_found,
         p8_forms,
+        p8_classes,
     )
 }

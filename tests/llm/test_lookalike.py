@@ -1,7 +1,9 @@
 import random
 import unicodedata
 
-from fiscalith.llm.lookalike import PROTOTYPE, consistent_form, look, lookalike_pairs, normalize_texts, resolved_scripts, visible
+from pyspark.sql import functions as F
+
+from fiscalith.llm.lookalike import PROTOTYPE, consistent_form, look, lookalike_classes, lookalike_pairs, normalize_texts, resolved_scripts, visible
 
 
 def test_same_look():
@@ -25,6 +27,30 @@ def test_same_look():
         assert look(a) == look(b)
 
 
+def test_other_scripts_and_signs():
+    same = [
+        ("ρrοgrαm", "program"),  # Greek alpha and rho among Latin letters
+        ("wσrd", "word"),
+        ("fυll", "full"),
+        ("rօad", "road"),  # Armenian
+        ("Ꭺrmy", "Army"),  # Cherokee
+        ("ꓮrmy", "Army"),  # Lisu
+        ("ᎪᏢ", "AP"),
+        ("Ⅰ and ⅼ and Ⅻ", "I and l and XII"),
+        ("1∕2", "1/2"),
+        ("9∶30", "9:30"),
+        ("aǀb", "a|b"),
+        ("⼀", "一"),
+    ]
+    for a, b in same:
+        assert consistent_form(a) == consistent_form(b) == b, (a, b)
+        assert look(a) == look(b)
+    # Where Greek can write the word, and in a sign that stands alone, these letters are what they are.
+    for a, b in [("σας", "οας"), ("α", "a"), ("3 σ", "3 o"), ("λόγου", "λόγoυ".replace("υ", "u")), ("ſ", "s"), ("ϑ", "θ"), ("ㄱㅏ", "가")]:
+        assert consistent_form(a) != consistent_form(b), (a, b)
+    assert consistent_form("η σωστή αρχή") == "η σωστή αρχή"
+
+
 def test_different_look():
     different = [("a", "A"), ("e", "é"), ("1", "l"), ("2", "²"), ("1/2", "½"), ("a b", "a  b"), ("a\nb", "a b"), ("a-b", "a–b"), ("rn", "m"), ("0", "O"), ("к", "k"), ("a\r\n", "a\n"), ("ß", "ss"), ("'", "’")]
     for a, b in different:
@@ -41,7 +67,7 @@ def test_one_script_is_chosen():
 
 def test_form_and_look_agree():
     rng = random.Random(4)
-    alphabet = "aceopxyABHTgж日éë \n ​́ｅ" + "".join(list(PROTOTYPE)[:40])
+    alphabet = "aceopxyABHTgж日éëασρυλօꓮⅠ \n ​́ｅ" + "".join(list(PROTOTYPE)[:40])
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 6))) for _ in range(3000)]
     by_look, by_form = {}, {}
     for t in texts:
@@ -85,3 +111,15 @@ def test_forms_table(spark):
     df = spark.createDataFrame([(1, "ｒadar"), (2, None), (3, "​"), (1, "ｒadar")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.form, r.shows) for r in normalize_texts(df, "doc_id", "text").collect()), key=str)
     assert got == [(1, "radar", True), (1, "radar", True), (2, None, False), (3, "", False)]
+
+
+def test_classes_and_dealt_out_spellings(spark):
+    forms = ["radar set", "rаdar set", "radаr set", "rаdаr set", "radar sеt"]
+    rows = [(i, forms[i % 5]) for i in range(20)] + [(50, "plain"), (51, "plain"), (60, None), (61, ""), (62, "\u200b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"f1": F.lit("x"), "links": F.lit(1)})
+    got = sorted(tuple(r) for r in lookalike_classes(df, "doc_id", "text").collect())
+    assert got == [(i, 0, 20, 5, 16) for i in range(20)]
+    want = sorted((i, j) for i in range(20) for j in range(i + 1, 20) if i % 5 != j % 5)
+    for at_once in (1000, 2, 1):
+        assert sorted(tuple(r) for r in lookalike_pairs(df, "doc_id", "text", at_once).collect()) == want
+    assert lookalike_classes(df.where("doc_id >= 50"), "doc_id", "text").count() == 0
