@@ -130,11 +130,11 @@ def visible(text: str) -> bool:
 
 @lru_cache(maxsize=1 << 16)
 def scripts_of(ch: str) -> frozenset[str]:
-    """Scripts in which this look can be written; ``*`` for a mark, which goes with any."""
+    """Scripts in which this look can be written; ``*`` for a mark or numeral, which goes with any."""
     prototype = PROTOTYPE.get(ch, ch)
     if prototype in SPELLINGS:
         return frozenset(SPELLINGS[prototype])
-    if unicodedata.category(ch).startswith("M"):
+    if unicodedata.category(ch)[0] in "MN":
         return _ALL
     if ch.isascii():
         return frozenset([LATIN])

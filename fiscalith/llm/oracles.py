@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from fiscalith.llm.lookalike import _SIGNS, PROTOTYPE
+from fiscalith.llm.lookalike import _SIGNS, PROTOTYPE, SPELLINGS
 
 # Fixed values of the dirty tables, written as plain SQL.
 _NUMBER = """(CASE WHEN regexp_matches({0}, '[0-9]') THEN
@@ -110,8 +110,35 @@ def _windows(table: str, key: str) -> str:
         SELECT {key}, regexp_extract_all(lower({_look('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL))"""
 
 
+def _spelled(column: str, script: str) -> str:
+    """A look written in ``script``, letters with accents included."""
+    to = {p: by[script] for p, by in SPELLINGS.items() if script in by}
+    for ch in map(chr, range(0x370, 0x530)):
+        shown = unicodedata.normalize("NFC", unicodedata.normalize("NFD", ch).translate(str.maketrans(PROTOTYPE)))
+        back = unicodedata.normalize("NFC", unicodedata.normalize("NFD", shown).translate(str.maketrans(to)))
+        if shown != ch and len(shown) == len(back) == 1 and back != shown:
+            to[shown] = back
+    return f"translate({column}, {_quoted(''.join(to))}, {_quoted(''.join(to.values()))})"
+
+
 _FORMS = f"f AS (SELECT doc_id, text, {_look('text')} AS f FROM documents WHERE text IS NOT NULL)"
 
+# Each token by the scripts that can write all of it, then the script of most tokens that only one can, then each token in its script.
+_SCRIPTS = ["LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU"]
+_CAN = ", ".join(
+    f"CASE WHEN NOT regexp_matches(strip_accents(t), '[^{''.join(p for p, by in SPELLINGS.items() if s in by) if s != 'LATIN' else ''}\\p{{{s.title()}}}\\p{{M}}\\p{{N}}]') THEN '{s}' END" for s in _SCRIPTS
+)
+_P8_FORMS = f"""WITH {_FORMS},
+t AS (SELECT doc_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT doc_id, regexp_extract_all(f, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+') AS ts FROM f)),
+k AS (SELECT *, CASE WHEN regexp_matches(t, '^\\p{{L}}') THEN list_filter([{_CAN}], lambda x: x IS NOT NULL) END AS s FROM t),
+n AS (SELECT doc_id, s[1] AS script, count(*) AS n FROM k WHERE len(s) = 1 GROUP BY ALL),
+m AS (SELECT doc_id, CASE WHEN list_contains(list(script), 'LATIN') THEN 'LATIN' ELSE min(script) END AS main
+  FROM (SELECT * FROM n QUALIFY n = max(n) OVER (PARTITION BY doc_id)) GROUP BY doc_id),
+w AS (SELECT k.*, CASE WHEN len(s) = 1 THEN s[1] WHEN list_contains(s, coalesce(main, 'LATIN')) THEN coalesce(main, 'LATIN') ELSE 'LATIN' END AS script FROM k LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, string_agg(CASE WHEN s IS NULL THEN t {' '.join(f"WHEN script = '{s}' THEN {_spelled('t', s)}" for s in _SCRIPTS[1:])} ELSE t END, '' ORDER BY i) AS form FROM w GROUP BY doc_id),
+a AS (SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.form, '') END AS form FROM documents d LEFT JOIN r USING (doc_id))
+SELECT doc_id, form, coalesce(regexp_matches(form, '[^\\s\\x{{85}}\\p{{Z}}]'), false) AS shows FROM a"""
+
 ORACLES = {
     "p1_found": _P1 + "SELECT pe_number, chunk_id FROM ranked WHERE position <= 10",
     "p1_top_chunks": _P1 + "SELECT pe_number, CAST(position AS INTEGER) AS position, chunk_id, score FROM ranked WHERE position <= 10",
@@ -122,6 +149,7 @@ ORACLES = {
     "SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k)",
     "p8_found": f"WITH {_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text "
     "WHERE regexp_matches(a.f, '[^\\s\\x{85}\\p{Z}]')",
+    "p8_forms": _P8_FORMS,
     "p8_classes": f"""WITH {_FORMS}, c AS (SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size, count(*) OVER w - count(*) OVER (PARTITION BY f, text) AS links, f
         FROM f WHERE regexp_matches(f, '[^\\s\\x{{85}}\\p{{Z}}]') WINDOW w AS (PARTITION BY f))
       SELECT doc_id, class_id, class_size, spellings, links FROM c JOIN (SELECT f, count(DISTINCT text) AS spellings FROM f GROUP BY f) s USING (f) WHERE links > 0""",
