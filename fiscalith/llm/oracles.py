@@ -32,6 +32,29 @@ SELECT parsed_id, CASE WHEN p <= 3203 THEN 'paragraph' WHEN l <= 3203 THEN 'line
   WHEN w <= 3203 THEN 'word' ELSE 'none' END AS boundary FROM units
 """
 
+_WS = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}"
+
+# Runs of white space as cuts, then piece by piece: the strongest cut of the window, the rightmost of equals, and back by the overlap.
+_PIECES = f"""
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS k, parsed_id, section_id, text FROM parsed_chunks),
+tok AS (SELECT k, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT k, regexp_extract_all(text, '[{_WS}]+|[^{_WS}]+') AS ts FROM src WHERE length(text) >= 3204)),
+pos AS (SELECT *, CAST(sum(length(t)) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS b, lag(right(t, 1)) OVER (PARTITION BY k ORDER BY i) AS before FROM tok),
+cuts AS (SELECT k, b - length(t) AS e, b AS s, CASE WHEN length(t) - length(replace(t, chr(10), '')) >= 2 THEN 4 WHEN contains(t, chr(10)) THEN 3
+    WHEN before IN ('.', '?', '!') THEN 2 ELSE 1 END AS strength FROM pos WHERE regexp_matches(t, '^[{_WS}]')),
+walk AS (SELECT k, 0 AS idx, 0::BIGINT AS start, 0::BIGINT AS done, NULL::INTEGER AS cut, length(text)::BIGINT AS n FROM src WHERE length(text) >= 3204
+  UNION ALL
+  SELECT b.k, b.idx + 1, coalesce(min(c.s), b.done - 160), b.done, b.cut, b.n FROM (
+      SELECT w.k, w.idx, w.n, coalesce(arg_max(c.e, (c.e >= w.start + 1601, c.strength, c.e)), w.start + 3203) AS done,
+        coalesce(arg_max(c.strength, (c.e >= w.start + 1601, c.strength, c.e)), 0)::INTEGER AS cut
+      FROM walk w LEFT JOIN cuts c ON c.k = w.k AND c.e > w.done + 160 AND c.e <= w.start + 3203
+      WHERE w.n - w.start > 3203 GROUP BY w.k, w.idx, w.n, w.start, w.done) b
+    LEFT JOIN cuts c ON c.k = b.k AND c.s >= b.done - 160 AND c.s < b.done GROUP BY b.k, b.idx, b.done, b.cut, b.n),
+spans AS (SELECT k, idx, start, coalesce(lead(done) OVER w, n) - start AS size, lead(cut) OVER w AS cut FROM walk WINDOW w AS (PARTITION BY k ORDER BY idx)),
+kind AS (SELECT DISTINCT parsed_id, boundary FROM ({_P2}))
+SELECT parsed_id, section_id, idx AS piece_index, start, substr(text, start + 1, size) AS text, CAST(greatest(1, size // 4) AS INTEGER) AS token_count,
+  ['none', 'word', 'sentence', 'line', 'paragraph'][cut + 1] AS cut, boundary FROM spans JOIN src USING (k) JOIN kind USING (parsed_id)
+UNION ALL SELECT parsed_id, section_id, 0, 0, text, CAST(greatest(1, length(text) // 4) AS INTEGER), NULL, NULL FROM src WHERE text IS NULL OR length(text) < 3204"""
+
 _AGENCY = """CASE lower(regexp_replace(agency, '[^A-Za-z]', '', 'g')) WHEN 'army' THEN 'Army' WHEN 'navy' THEN 'Navy'
   WHEN 'airforce' THEN 'Air Force' WHEN 'af' THEN 'Air Force' WHEN 'spaceforce' THEN 'Space Force' WHEN 'sf' THEN 'Space Force'
   WHEN 'defensewide' THEN 'Defense-Wide' WHEN 'dw' THEN 'Defense-Wide' WHEN 'ote' THEN 'OT&E' ELSE trim(agency) END"""
@@ -143,8 +166,10 @@ ORACLES = {
     "p1_found": _P1 + "SELECT pe_number, chunk_id FROM ranked WHERE position <= 10",
     "p1_top_chunks": _P1 + "SELECT pe_number, CAST(position AS INTEGER) AS position, chunk_id, score FROM ranked WHERE position <= 10",
     "p2_found": _P2,
+    "p2_pieces": _PIECES,
     "p3_found": _P3 + _BEST,
     "p3_survivors": _P3 + _SURVIVORS,
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": f"WITH d AS ({_windows('documents', 'doc_id')}), e AS ({_windows('eval_items', 'item_id')}) "
     "SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k)",
     "p8_found": f"WITH {_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text "
