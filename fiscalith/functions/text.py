@@ -282,7 +282,7 @@ def legacy_normalized(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Each run of letters with a capital first letter."""
     parts = F.split(F.lower(c), r"(?<=[^a-z])(?=[a-z])")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 100000))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
 def component(c: Column) -> Column:

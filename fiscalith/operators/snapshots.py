@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fiscalith.session import cut_lineage, row_bound_holds
+
+
+#: More than twice any 64-bit number, so that in a sum with one the number multiplied by it decides.
+_STEP = Decimal(2 * 10**19)
+#: Deliveries whose order may be broadcast at most.
+MOST_DELIVERIES = 100_000
+
 
 def content_hash(columns: Sequence[Column]) -> Column:
     """128 bits over ``columns``; null differs from every value."""
@@ -24,12 +33,17 @@ def latest_per_snapshot(
     the same on every run. A row without load time comes before all others. Map-side combining leaves one row
     per key and task before the shuffle, however often a key is repeated.
     """
-    row = F.struct(F.coalesce(F.unix_micros(F.col(loaded_at).cast("timestamp")), F.lit(-(2**63))).alias("at"), content_hash(list(values.values())).alias("h"))
+    at = F.coalesce(F.unix_micros(F.col(loaded_at).cast("timestamp")), F.lit(-(2**63)))
+    hashes = content_hash(list(values.values()))
+    rows = df.select(F.col(snapshot).alias("__snapshot"), *[c.alias(k) for k, c in keys.items()], at.alias("__at"), hashes.alias("__h")).select(
+        "__snapshot", *keys, "__at", F.col("__h.h1").alias("__h1"), F.col("__h.h2").alias("__h2")
+    )
+    # Time and hash as one number of fixed width, so that this is a hash aggregate.
+    place = (F.col("__at").cast("decimal(19,0)") * F.lit(_STEP) + F.col("__h1").cast("decimal(20,0)")).cast("decimal(38,0)")
     return (
-        df.select(F.col(snapshot).alias("__snapshot"), *[c.alias(k) for k, c in keys.items()], row.alias("__row"))
-        .groupBy("__snapshot", *keys)
-        .agg(F.max("__row").alias("__row"))
-        .select("__snapshot", *keys, F.col("__row.h").alias("__hash"))
+        rows.groupBy("__snapshot", *keys)
+        .agg(F.max_by("__h1", place).alias("h1"), F.max_by("__h2", place).alias("h2"))
+        .select("__snapshot", *keys, F.struct("h1", "h2").alias("__hash"))
     )
 
 
@@ -46,13 +60,16 @@ def validity_intervals(
     # One row per delivery, whatever the number of records in it.
     deliveries = df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("__snapshot")).distinct()
     in_order = Window.orderBy("__snapshot")
-    order = deliveries.select(
-        "__snapshot", (F.row_number().over(in_order) - 1).alias("__pos"), F.lead("__snapshot").over(in_order).alias("__next")
+    order = cut_lineage(
+        deliveries.select(
+            "__snapshot", (F.row_number().over(in_order) - 1).alias("__pos"), F.lead("__snapshot").over(in_order).alias("__next")
+        )
     )
+    order = F.broadcast(order) if row_bound_holds(order, MOST_DELIVERIES) else order
     by_key = Window.partitionBy(*keys).orderBy("__pos")
     prev_pos, prev_hash = F.lag("__pos").over(by_key), F.lag("__hash").over(by_key)
     starts = F.when((F.col("__pos") == prev_pos + 1) & (F.col("__hash") == prev_hash), 0).otherwise(1)
-    islands = latest.join(F.broadcast(order), "__snapshot").withColumn("__island", F.sum(starts).over(by_key))
+    islands = latest.join(order, "__snapshot").withColumn("__island", F.sum(starts).over(by_key))
     return (
         islands.groupBy(*keys, "__island")
         .agg(

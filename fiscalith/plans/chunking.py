@@ -181,8 +181,7 @@ def win10_running_length(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT id AS chunk_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, regexp_matches(text,
-      '(?i)\\b(missile|aircraft|ship|cyber|space|intelligence|hypersonic|unmanned|autonomous|prototype|demonstration|program|system|capability|technology|development|research|weapon|modernization|acquisition|C2|command and control|electronic warfare|directed energy|artificial intelligence)\\b') AS priority,
+    f"""SELECT id AS chunk_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, regexp_matches(text, '{X.PRIORITY_WORDS}') AS priority,
       substr(text, 1, 400) AS excerpt FROM policy_chunks WHERE text IS NOT NULL"""
 )
 def scs18_tokens_and_priority(spark: SparkSession, folder: str) -> DataFrame:

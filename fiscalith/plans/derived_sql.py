@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fiscalith.functions.text import BUDGET_ACTIVITIES
 from fiscalith.plans.policy import _TO_ELEMENTS
 from fiscalith.plans.quality_sql import ORACLES as QUALITY
 from fiscalith.plans.trends import BASE_SQL, _wide_sql
@@ -18,18 +19,7 @@ _SHAPED = f"""WITH {_ROWS}, d AS (SELECT r.raw_id, coalesce(nullif(l.source_file
     min_by([TRY_CAST(line_no AS BIGINT)], raw_id)[1] AS line_no, min_by([pe_title], raw_id)[1] AS pe_title, min_by([act_code], raw_id)[1] AS act_code,
     arg_min(is_classified, raw_id) AS is_classified FROM c GROUP BY pe_number, agency))
 """
-_CODES = {
-    "01": "BA1 - Basic Research",
-    "02": "BA2 - Applied Research",
-    "03": "BA3 - Advanced Technology Development",
-    "04": "BA4 - Advanced Component Development & Prototypes",
-    "05": "BA5 - System Development & Demonstration",
-    "06": "BA6 - Management Support",
-    "07": "BA7 - Operational Systems Development",
-    "08": "BA8 - Software And Digital Technology Pilot Programs",
-    "20": "BA20 - Continuing Resolution Programs",
-}
-_ACTIVITY = "CASE act_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.items()) + " ELSE 'BA' || act_code END"
+_ACTIVITY = "CASE act_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BUDGET_ACTIVITIES.items()) + " ELSE 'BA' || act_code END"
 _LONG = "UNION ALL ".join(
     f"SELECT {{keep}}, CAST({{fy}} - {back} AS INTEGER) AS fiscal_year, '{kind}' AS funding_type, {c} AS amount_thousands FROM {{source}} "
     f"WHERE {c} IS NOT NULL AND {{fy}} IS NOT NULL "

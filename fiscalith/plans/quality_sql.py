@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-_NUMBER = """(CASE WHEN regexp_matches(pe_number, '[0-9]') THEN
-  lpad(regexp_extract(upper(regexp_replace(pe_number, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+'),
-       CAST(greatest(7, len(regexp_extract(upper(regexp_replace(pe_number, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+'))) AS INTEGER), '0')
-  || regexp_extract(upper(regexp_replace(pe_number, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+(.*)$', 1) END)"""
+from fiscalith.plans.sql_terms import canonical_number
 
 
 def _folded(c: str) -> str:
@@ -43,7 +40,7 @@ j AS (SELECT raw_id, f, CASE WHEN NOT sound THEN 'quoting' WHEN t IS NULL OR NOT
 """
 
 _P5 = f"""
-WITH u AS (SELECT snapshot_id, {_NUMBER} AS pe_number, fiscal_year, {_folded('pe_title')} AS title, {_folded('budget_activity')} AS ba, loaded_at
+WITH u AS (SELECT snapshot_id, {canonical_number('pe_number')} AS pe_number, fiscal_year, {_folded('pe_title')} AS title, {_folded('budget_activity')} AS ba, loaded_at
   FROM pe_snapshots),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, pe_number, fiscal_year ORDER BY loaded_at DESC) AS n FROM u) WHERE n = 1),
 o AS (SELECT snapshot_id, lead(snapshot_id) OVER (ORDER BY snapshot_id) AS after FROM (SELECT DISTINCT snapshot_id FROM u))

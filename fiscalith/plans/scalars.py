@@ -195,12 +195,11 @@ def agg15_manifest_by_year(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, greatest(1, length(text) // 4)::INTEGER AS tokens, CAST(len(list_filter(list_transform(string_split(text, chr(10)),
-      lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')) AS INTEGER) AS n_paragraphs FROM documents
-      WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]')"""
+    r"""SELECT doc_id, greatest(1, length(text) // 4)::INTEGER AS tokens, CAST(len(list_filter(string_split(text, chr(10)),
+      lambda p: regexp_matches(p, '[^\s\x{0b}\x{85}\p{Z}]'))) AS INTEGER) AS n_paragraphs FROM documents WHERE text IS NOT NULL"""
 )
 def scs20_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens and paragraphs of all documents with a text. The SQL holds the ones in plain ASCII alone, so it is short of the others' rows."""
+    """Tokens and paragraphs of all documents with a text."""
     return (
         read_table(spark, folder, "documents")
         .where(F.col("text").isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from fiscalith.functions.identifiers import canonical_agency, canonical_funding_type, canonical_pe_number, four_digit_year, usable_number
 from fiscalith.functions.numeric import cagr_pct, exact_sum, rounded, total_delta_pct, trend_arrow, trend_label, yoy_pct
 from fiscalith.plans.registry import query
+from fiscalith.plans.sql_terms import AGENCY, FUNDING_TYPE, YEAR, canonical_number
 from fiscalith.sources.tables import read_table
 
 FIRST_YEAR, LAST_YEAR = 1996, 2026
@@ -43,6 +44,11 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def by_element_and_year(facts: DataFrame) -> DataFrame:
+    """Sums by element and year: what a join with the elements then carries, however many lines there are."""
+    return facts.groupBy("pe_id", "fiscal_year").agg(F.sum(F.col("amount").cast("decimal(20,4)")).alias("amount"))
+
+
 def pivot_years(facts: DataFrame, keys: Sequence[str], first: int, last: int, name: str = "{}", value: str = "amount") -> DataFrame:
     """One row per key, one column per year ``first .. last``; years without money are 0.
 
@@ -150,20 +156,9 @@ def _rounded(trends: DataFrame) -> DataFrame:
 
 # -- queries -------------------------------------------------------------------------------------------------------------
 
-_PE_SQL = """upper(regexp_replace(pe_number, '[^0-9A-Za-z]', '', 'g'))"""
-_ELEMENTS = f"""elements AS (SELECT id AS pe_id,
-  lpad(regexp_extract({_PE_SQL}, '^[0-9]+'), CAST(greatest(7, len(regexp_extract({_PE_SQL}, '^[0-9]+'))) AS INTEGER), '0')
-    || regexp_extract({_PE_SQL}, '^[0-9]+(.*)$', 1) AS pe_number, program_name,
-  CASE lower(regexp_replace(agency, '[^A-Za-z]', '', 'g')) WHEN 'army' THEN 'Army' WHEN 'navy' THEN 'Navy'
-    WHEN 'airforce' THEN 'Air Force' WHEN 'af' THEN 'Air Force' WHEN 'spaceforce' THEN 'Space Force' WHEN 'sf' THEN 'Space Force'
-    WHEN 'defensewide' THEN 'Defense-Wide' WHEN 'dw' THEN 'Defense-Wide' WHEN 'ote' THEN 'OT&E' ELSE trim(agency) END AS agency,
+_ELEMENTS = f"""elements AS (SELECT id AS pe_id, {canonical_number('pe_number')} AS pe_number, program_name, {AGENCY} AS agency,
   budget_activity, is_classified FROM program_elements)"""
-_FACTS = """facts AS (SELECT * FROM (SELECT id, program_element_id AS pe_id,
-  CAST(CASE WHEN fiscal_year BETWEEN 0 AND 95 THEN fiscal_year + 2000 WHEN fiscal_year BETWEEN 96 AND 99 THEN fiscal_year + 1900
-    ELSE fiscal_year END AS INTEGER) AS fiscal_year,
-  CASE WHEN regexp_matches(lower(regexp_replace(funding_type, '[^A-Za-z]', '', 'g')), '^(py|prioryear)') THEN 'PY Actual'
-    WHEN regexp_matches(lower(regexp_replace(funding_type, '[^A-Za-z]', '', 'g')), '^(cy|currentyear)') THEN 'CY Request'
-    WHEN regexp_matches(lower(regexp_replace(funding_type, '[^A-Za-z]', '', 'g')), '^(by|budgetyear)') THEN 'BY Request' END AS funding_type,
+_FACTS = f"""facts AS (SELECT * FROM (SELECT id, program_element_id AS pe_id, {YEAR} AS fiscal_year, {FUNDING_TYPE} AS funding_type,
   CASE WHEN isfinite(amount_thousands) THEN amount_thousands END AS amount FROM funding_lines)
   WHERE amount IS NOT NULL AND fiscal_year IS NOT NULL AND funding_type IS NOT NULL)"""
 BASE_SQL = f"WITH {_ELEMENTS}, {_FACTS} "
@@ -223,8 +218,7 @@ def ana02_pe_trends(spark: SparkSession, folder: str) -> DataFrame:
       FROM facts JOIN elements USING (pe_id) GROUP BY ALL"""
 )
 def agg01_sum_by_agency_year(spark: SparkSession, folder: str) -> DataFrame:
-    by_element = facts(spark, folder).groupBy("pe_id", "fiscal_year").agg(F.sum(F.col("amount").cast("decimal(20,4)")).alias("amount"))
-    joined = by_element.join(elements(spark, folder).select("pe_id", "agency"), "pe_id")
+    joined = by_element_and_year(facts(spark, folder)).join(elements(spark, folder).select("pe_id", "agency"), "pe_id")
     return joined.groupBy("agency", "fiscal_year").agg(exact_sum(F.col("amount")).alias("total"))
 
 
@@ -235,7 +229,7 @@ def agg01_sum_by_agency_year(spark: SparkSession, folder: str) -> DataFrame:
 )
 def agg02_sum_by_pe_year(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["pe_number", "program_name", "agency"]
-    joined = facts(spark, folder).join(elements(spark, folder).select("pe_id", *keys), "pe_id")
+    joined = by_element_and_year(facts(spark, folder)).join(elements(spark, folder).select("pe_id", *keys), "pe_id")
     return joined.groupBy(*keys, "fiscal_year").agg(exact_sum(F.col("amount")).alias("total"))
 
 
@@ -517,12 +511,12 @@ def ana15_explorer(spark: SparkSession, folder: str) -> DataFrame:
       GROUP BY ALL"""
 )
 def snk09_agency_series(spark: SparkSession, folder: str) -> DataFrame:
-    """The series behind the agency chart, in billions (FLT-06..08, JOIN-07 as a semi join, PRJ-04)."""
-    open_ids = elements(spark, folder).where(~F.col("is_classified")).select("pe_id")
+    """The series behind the agency chart, in billions (FLT-06..08, JOIN-07 within the join that gives the agency, PRJ-04)."""
+    open_elements = elements(spark, folder).where(~F.col("is_classified")).select("pe_id", "agency")
     rows = facts(spark, folder).where((F.col("funding_type") == "BY Request") & F.col("fiscal_year").between(2010, 2026))
     return (
-        rows.join(open_ids, "pe_id", "left_semi")
-        .join(elements(spark, folder).select("pe_id", "agency"), "pe_id")
+        by_element_and_year(rows)
+        .join(open_elements, "pe_id")
         .groupBy("agency", "fiscal_year")
         .agg((exact_sum(F.col("amount")) / 1e6).alias("billions"))
     )
@@ -536,7 +530,8 @@ def snk09_agency_series(spark: SparkSession, folder: str) -> DataFrame:
 )
 def srt02_top_elements(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty largest requests of a year; a report, so the limit is the feature (TOP-04)."""
-    joined = facts(spark, folder).where("funding_type = 'BY Request' AND fiscal_year = 2025").join(elements(spark, folder), "pe_id")
+    rows = facts(spark, folder).where("funding_type = 'BY Request' AND fiscal_year = 2025")
+    joined = by_element_and_year(rows).join(elements(spark, folder).select("pe_id", "pe_number", "agency"), "pe_id")
     top = joined.groupBy("pe_number", "agency").agg(exact_sum(F.col("amount")).alias("total"))
     order = [F.desc("total"), F.col("pe_number"), F.col("agency")]
     return top.orderBy(*order).limit(20).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

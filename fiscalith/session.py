@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -39,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fiscalith-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="fiscalith-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return sc.getCheckpointDir()
@@ -65,7 +69,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_fiscalith_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="fiscalith-package-")) / "fiscalith-package.zip"
+    folder = tempfile.mkdtemp(prefix="fiscalith-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "fiscalith-package.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))

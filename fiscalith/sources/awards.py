@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from fiscalith.session import ship_package
 from fiscalith.sources.discovery import canonical_names
 
-SCHEMA = "agency string, fiscal_year int, level string, page int, record string"
+SCHEMA = "agency string, fiscal_year int, level string, page int, record string, error string"
 BASE_URL = "https://api.usaspending.gov/api/v2"
 PAGE_SIZE = 100
 # Fields of an award, as the service names them.
@@ -109,8 +109,8 @@ class _Part(InputPartition):
 class AwardReader(DataSourceReader):
     """One partition for each agency and fiscal year; the pages of one are read in turn.
 
-    ``kind`` selects awards (default), spending (by level: one partition for each agency, year and level; a level that the
-    service refuses has no rows), toptier or subtier agencies.
+    ``kind`` selects awards (default), spending (by level: one partition for each agency, year and level; one that the
+    service does not answer has a row without record that says why in ``error``), toptier or subtier agencies.
     """
 
     def __init__(self, options: dict):
@@ -133,16 +133,17 @@ class AwardReader(DataSourceReader):
         if kind in ("toptier", "subtier"):
             path = "/references/toptier_agencies/" if kind == "toptier" else f"/agency/{partition.agency}/sub_components/"
             for row in request(base + path).get("results") or []:
-                yield partition.agency, None, None, 1, json.dumps(row)
+                yield partition.agency, None, None, 1, json.dumps(row), None
             return
         if kind == "spending":
             body = {"type": partition.level, "filters": {"fy": str(partition.fiscal_year), "quarter": "4", "agency": partition.agency}}
             try:
                 answer = request(base + "/spending/", body)
-            except urllib.error.HTTPError:
+            except urllib.error.HTTPError as fault:
+                yield partition.agency, partition.fiscal_year, partition.level, 1, None, f"http {fault.code}"
                 return
             for row in answer.get("results") or []:
-                yield partition.agency, partition.fiscal_year, partition.level, 1, json.dumps(row)
+                yield partition.agency, partition.fiscal_year, partition.level, 1, json.dumps(row), None
             return
         types = [x for x in o.get("awardtypes", "A,B,C,D").split(",") if x]
         words = [x for x in o.get("keywords", "").split(",") if x]
@@ -154,7 +155,7 @@ class AwardReader(DataSourceReader):
             return request(base + "/search/spending_by_award/", body)
 
         for page, row in pages(fetch):
-            yield partition.agency, partition.fiscal_year, None, page, json.dumps(row)
+            yield partition.agency, partition.fiscal_year, None, page, json.dumps(row), None
 
 
 class AwardSource(DataSource):
