@@ -5,16 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 from fiscalith.llm.lookalike import _SIGNS, PROTOTYPE, SPELLINGS
-
-# Fixed values of the dirty tables, written as plain SQL.
-_NUMBER = """(CASE WHEN regexp_matches({0}, '[0-9]') THEN
-  lpad(regexp_extract(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+'),
-       CAST(greatest(7, len(regexp_extract(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+'))) AS INTEGER), '0')
-  || regexp_extract(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^[0-9]+(.*)$', 1) END)"""
+from fiscalith.plans.sql_terms import AGENCY, FUNDING_TYPE, YEAR, canonical_number
 
 _P1 = f"""
 WITH usable AS (SELECT DISTINCT id FROM policy_chunks WHERE length(trim(regexp_replace(text, '[\\s\\x{{85}}\\p{{Z}}]', '', 'g'))) > 0),
-hits AS (SELECT {_NUMBER.format('pe_number')} AS pe_number, chunk_id, max(relevance_score) AS score
+hits AS (SELECT {canonical_number('pe_number')} AS pe_number, chunk_id, max(relevance_score) AS score
   FROM chunk_hits WHERE relevance_score >= 0 AND relevance_score <= 1 AND NOT isnan(relevance_score)
     AND chunk_id IN (SELECT id FROM usable) GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY pe_number ORDER BY score DESC, chunk_id) AS position FROM hits)
@@ -55,20 +50,13 @@ SELECT parsed_id, section_id, idx AS piece_index, start, substr(text, start + 1,
   ['none', 'word', 'sentence', 'line', 'paragraph'][cut + 1] AS cut, boundary FROM spans JOIN src USING (k) JOIN kind USING (parsed_id)
 UNION ALL SELECT parsed_id, section_id, 0, 0, text, CAST(greatest(1, length(text) // 4) AS INTEGER), NULL, NULL FROM src WHERE text IS NULL OR length(text) < 3204"""
 
-_AGENCY = """CASE lower(regexp_replace(agency, '[^A-Za-z]', '', 'g')) WHEN 'army' THEN 'Army' WHEN 'navy' THEN 'Navy'
-  WHEN 'airforce' THEN 'Air Force' WHEN 'af' THEN 'Air Force' WHEN 'spaceforce' THEN 'Space Force' WHEN 'sf' THEN 'Space Force'
-  WHEN 'defensewide' THEN 'Defense-Wide' WHEN 'dw' THEN 'Defense-Wide' WHEN 'ote' THEN 'OT&E' ELSE trim(agency) END"""
-
 _P3 = f"""
-WITH RECURSIVE element AS (SELECT id AS row_id, min(id) OVER (PARTITION BY {_NUMBER.format('pe_number')}, {_AGENCY}) AS program_element_id,
+WITH RECURSIVE element AS (SELECT id AS row_id, min(id) OVER (PARTITION BY {canonical_number('pe_number')}, {AGENCY}) AS program_element_id,
     TRY_CAST(line_item_number AS BIGINT) AS line_number, TRY_CAST(act_code AS INTEGER) AS activity FROM program_elements),
 lines AS (SELECT f.id, e.program_element_id, e.line_number, e.activity,
-    CAST(CASE WHEN f.fiscal_year BETWEEN 0 AND 95 THEN f.fiscal_year + 2000 WHEN f.fiscal_year BETWEEN 96 AND 99 THEN f.fiscal_year + 1900
-      ELSE f.fiscal_year END AS INTEGER) AS fiscal_year,
-    CASE WHEN regexp_matches(t, '^(py|prioryear)') THEN 'PY Actual' WHEN regexp_matches(t, '^(cy|currentyear)') THEN 'CY Request'
-      WHEN regexp_matches(t, '^(by|budgetyear)') THEN 'BY Request' END AS funding_type,
+    f.year AS fiscal_year, f.type AS funding_type,
     CASE WHEN isfinite(f.amount_thousands) THEN f.amount_thousands END AS amount, s.document_type, f.loaded_at
-  FROM (SELECT *, lower(regexp_replace(funding_type, '[^A-Za-z]', '', 'g')) AS t FROM funding_lines) f
+  FROM (SELECT *, {YEAR} AS year, {FUNDING_TYPE} AS type FROM funding_lines) f
   JOIN element e ON e.row_id = f.program_element_id LEFT JOIN source_documents s ON s.id = f.source_document_id),
 grouped AS (SELECT *, count(*) OVER (PARTITION BY program_element_id, fiscal_year, funding_type) AS group_size
   FROM lines WHERE fiscal_year IS NOT NULL AND funding_type IS NOT NULL)
