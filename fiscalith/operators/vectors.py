@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fiscalith.session import ship_package
+from fiscalith.session import cut_lineage, ship_package
 
-#: Query vectors that one scan of the corpus is held against at most; more are done in further scans.
-QUERY_BLOCK = 4096
+#: Numbers, of vectors and of results, that the queries held against one scan of the corpus may take; more queries are done in further scans.
+SCAN_NUMBERS = 1 << 23
+#: Queries and corpus rows whose scores are computed at a time.
+TILE = 1024
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +38,39 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[use] / norms[use, None], where[use]
 
 
+class Best:
+    """The ``k`` best of each of ``n`` queries so far: by score, equal ones by smaller id."""
+
+    def __init__(self, n: int, k: int, ids: np.ndarray):
+        self.k = k
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.zeros((n, k), dtype=ids.dtype) if ids.dtype != object else np.full((n, k), "", dtype=object)
+
+    def add(self, at: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` of the queries ``at`` with rows ``ids``, which ascend."""
+        kept = min(self.k, scores.shape[1])
+        some = np.flatnonzero(scores.max(axis=1) >= self.scores[at, -1])
+        if not len(some):
+            return
+        scores = scores[some]
+        if kept < scores.shape[1]:
+            # Of equal scores those on the left, which have the smaller ids: the last kept score decides, then the place.
+            last = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1 : kept]
+            above, equal = scores > last, scores == last
+            room = kept - above.sum(axis=1, keepdims=True)
+            use = above | (equal & (np.cumsum(equal, axis=1) <= room))
+            columns = np.nonzero(use)[1].reshape(len(some), kept)
+        else:
+            columns = np.broadcast_to(np.arange(kept), scores.shape)
+        rows = some + (at.start or 0)
+        s = np.concatenate([self.scores[rows], np.take_along_axis(scores, columns, axis=1)], axis=1)
+        i = np.concatenate([self.ids[rows], ids[columns]], axis=1)
+        place = i if i.dtype != object else np.unique(i, return_inverse=True)[1].reshape(i.shape)
+        order = np.lexsort((place, -s), axis=-1)[:, : self.k]
+        self.scores[rows] = np.take_along_axis(s, order, axis=1)
+        self.ids[rows] = np.take_along_axis(i, order, axis=1)
+
+
 def top_k_cosine(
     queries: DataFrame,
     query_id: str,
@@ -46,28 +81,34 @@ def top_k_cosine(
     k: int,
     threshold: float = -1.0,
     digits: int = 6,
-    block: int = QUERY_BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """``query_id``, ``corpus_id``, ``score``, ``rank``: the ``k`` most similar corpus rows of each query.
 
-    The queries are a stated set; it is counted, and each scan of the corpus takes at most ``block`` of them, so what goes to
-    the workers has a fixed bound and nothing is left out. A task keeps ``k`` rows a query at most, so the shuffle is small.
-    Scores are rounded to ``digits`` before ranking, ties go to the smaller id. Null, empty, zero and differently long
-    vectors match nothing. Scores below ``threshold`` are left out.
+    The queries are a stated set. They are counted; as many as ``SCAN_NUMBERS`` allows for (or ``block``) go to the workers at once and are held against
+    one scan of the corpus, tile by tile. If there are more, each further part has a scan of its own, whose result is written down before the next
+    part is read, so that the driver and the workers hold one part at a time and nothing is left out. A task keeps ``k`` rows a query, so the
+    shuffle is small. Scores are rounded to ``digits`` before ranking, ties go to the smaller id. Null, empty, zero and differently long
+    vectors match nothing; the length is that of the queries of a part. Scores below ``threshold`` are left out.
     """
     ship_package(corpus.sparkSession)
     usable = queries.where(F.col(query_vector).isNotNull() & (F.size(query_vector) > 0))
-    n_blocks = max(1, -(-usable.count() // block))
+    about = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector)).alias("dim")).first()
+    ids_kind = corpus.schema[corpus_id].dataType
+    ids_type = pa.int64() if isinstance(ids_kind, T.LongType) else pa.int32() if isinstance(ids_kind, T.IntegerType) else pa.string()
     out_type = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(corpus_id, corpus.schema[corpus_id].dataType),
+            T.StructField(corpus_id, ids_kind),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    parts = []
-    for b in range(n_blocks):
-        mine = usable if n_blocks == 1 else usable.where(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b)
+    if not about.n:
+        return corpus.sparkSession.createDataFrame([], T.StructType([*out_type.fields, T.StructField("rank", T.IntegerType())]))
+    parts = -(-about.n // (block or max(1, SCAN_NUMBERS // (about.dim + 2 * k))))
+    found = None
+    for part in range(parts):
+        mine = usable if parts == 1 else usable.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
         held = mine.select(query_id, query_vector).toArrow()
         if held.num_rows == 0:
             continue
@@ -77,45 +118,31 @@ def top_k_cosine(
         shared = corpus.sparkSession.sparkContext.broadcast((matrix, held.column(0).combine_chunks().take(pa.array(where)), dim))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q, ids, dim = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] | None = None
+            q, names, dim = shared.value
+            best = None
             for batch in batches:
                 rows, where = _matrix(batch.column(1), dim)
-                if not len(rows):
+                if not len(rows) or not len(q):
                     continue
-                names = np.asarray(batch.column(0).to_pylist(), dtype=object if pa.types.is_string(batch.column(0).type) else None)[where]
-                order = np.argsort(names, kind="stable")
-                names, scores = names[order], np.round(q @ rows[order].T, digits)
-                fresh = []
-                for i in range(len(q)):
-                    s, n = scores[i], names
-                    keep = s >= threshold
-                    s, n = s[keep], n[keep]
-                    if best is not None:
-                        s, n = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], n])
-                    top = np.lexsort((n, -s))[:k]
-                    fresh.append((s[top], n[top]))
-                best = fresh
+                ids = np.asarray(batch.column(0).to_pylist(), dtype=object if ids_type == pa.string() else np.int64)[where]
+                order = np.argsort(ids, kind="stable")
+                rows, ids = rows[order], ids[order]
+                best = best or Best(len(q), k, ids)
+                for a in range(0, len(q), TILE):
+                    for b in range(0, len(rows), TILE):
+                        scores = np.round(q[a : a + TILE] @ rows[b : b + TILE].T, digits)
+                        scores[scores < threshold] = -np.inf
+                        best.add(slice(a, a + TILE), scores, ids[b : b + TILE])
             if best is not None:
-                counts = [len(s) for s, _ in best]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(np.repeat(np.arange(len(q)), counts))),
-                        pa.array([x for _, n in best for x in n.tolist()], ids_type),
-                        pa.array(np.concatenate([s for s, _ in best]), pa.float64()),
-                    ],
-                    names=[query_id, corpus_id, "score"],
-                )
-
-        ids_type = pa.int64() if isinstance(corpus.schema[corpus_id].dataType, T.LongType) else (
-            pa.int32() if isinstance(corpus.schema[corpus_id].dataType, T.IntegerType) else pa.string()
-        )
-        parts.append(corpus.select(corpus_id, corpus_vector).mapInArrow(run, out_type))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], T.StructType([*out_type.fields, T.StructField("rank", T.IntegerType())]))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                at, place = np.nonzero(best.scores > -np.inf)
+                columns = [names.take(pa.array(at)), pa.array(best.ids[at, place].tolist(), ids_type), pa.array(best.scores[at, place], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[query_id, corpus_id, "score"])
+
+        one = corpus.select(corpus_id, corpus_vector).mapInArrow(run, out_type)
+        if parts > 1:
+            one = cut_lineage(one)
+            shared.destroy()
+        found = one if found is None else found.unionByName(one)
     place = Window.partitionBy(query_id).orderBy(F.desc("score"), corpus_id)
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
@@ -125,16 +152,17 @@ def _word_features(word: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of a word and its letter trigrams."""
     padded = f"^{word}$"
     grams = [word, *(padded[i : i + 3] for i in range(len(padded) - 2))]
-    codes = np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams], dtype=np.uint64)
+    codes = np.array([int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:8], "big") for g in grams], dtype=np.uint64)
     weights = np.where(codes >> np.uint64(63), 1.0, -1.0)
     weights[0] *= 2
     return (codes % np.uint64(dim)).astype(np.int64), weights
 
 
 def hashed_embedding(text: Column, dim: int = 256) -> Column:
-    """A vector from text without any model: words and letter trigrams hashed with signs, of length one; null for blank text.
+    """A vector from text without any model: words and letter trigrams hashed with signs; null for blank text.
 
-    The stand-in for a sentence encoder; replace it by a function of the same shape to use one.
+    Whole numbers, not of length one: cosines do not need it, and they come out the same everywhere. The stand-in for a sentence encoder;
+    replace it by a function of the same shape to use one.
     """
 
     session = SparkSession.getActiveSession()
@@ -150,8 +178,7 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
                 out.append(None)
                 continue
             v = np.bincount(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]), dim)
-            size = np.linalg.norm(v)
-            out.append((v / size).astype(np.float32) if size else None)
+            out.append(v.astype(np.float32) if v.any() else None)
         return pd.Series(out)
 
     return embed(text)
