@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
+import numpy as np
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit per character of ``a``."""
@@ -33,6 +37,12 @@ def tokens_of(s: str) -> tuple[str, frozenset[str]]:
     return " ".join(sorted(words)), frozenset(words)
 
 
+@lru_cache(maxsize=1 << 16)
+def distinct_of(s: str) -> str:
+    """The words of ``s`` in order of the alphabet, once each."""
+    return " ".join(sorted(tokens_of(s)[1]))
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     return ratio(tokens_of(a)[0], tokens_of(b)[0])
 
@@ -115,6 +125,112 @@ def weighted_ratio(a: str, b: str, least: float = 0.0) -> float:
     bound = scale * partial_bound(a, b)
     if share:
         best = max(best, 95.0 * scale)
-    elif 0.95 * bound > max(best, least):
+    elif 0.95 * scale * max(partial_bound(a, b), partial_bound(distinct_of(a), distinct_of(b))) > max(best, least):
         best = max(best, 0.95 * scale * partial_token_ratio(a, b))
     return max(best, scale * partial_ratio(a, b)) if bound > max(best, least) else best
+
+
+#: Bins that characters are counted in; characters that share one only make the bounds wider.
+_BINS = 64
+#: More than what the order of floating point operations can change.
+_SLACK = 1e-9
+
+
+def _counts(texts: Sequence[str]) -> np.ndarray:
+    """How many characters of each bin the texts have."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(owner * _BINS + (codes & (_BINS - 1)), minlength=len(texts) * _BINS).reshape(-1, _BINS).astype(np.int32)
+
+
+class Candidates:
+    """Texts to be compared with many queries: for each query, what their scores cannot exceed, for all of them at once."""
+
+    def __init__(self, ids: Sequence[int], texts: Sequence[str]):
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        parts = [tokens_of(t) for t in self.texts]
+        self.length = np.array([len(t) for t in self.texts])
+        self.sorted_length = np.array([len(joined) for joined, _ in parts])
+        self.n_tokens = np.array([len(words) for _, words in parts])
+        self.distinct_length = np.array([sum(map(len, words)) + len(words) - 1 for _, words in parts])
+        self.counts = _counts(self.texts)
+        where: dict[str, list[int]] = {}
+        for i, (_, words) in enumerate(parts):
+            for w in words:
+                where.setdefault(w, []).append(i)
+        self.where = {w: np.array(at) for w, at in where.items()}
+
+    def common(self, query: str) -> np.ndarray:
+        """At least how many characters each text has in common with the query, in whatever order."""
+        return np.minimum(self.counts, _counts([query])).sum(axis=1)
+
+    def shared(self, words: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many of ``words`` each text has, and their length."""
+        n, length = np.zeros(len(self.texts), dtype=np.int64), np.zeros(len(self.texts), dtype=np.int64)
+        for w in words:
+            at = self.where.get(w)
+            if at is not None:
+                n[at] += 1
+                length[at] += len(w)
+        return n, length
+
+    def set_bounds(self, query: str, common: np.ndarray | None = None) -> np.ndarray:
+        """Bounds of ``token_set_ratio``."""
+        words = tokens_of(query)[1]
+        if not words:
+            return np.zeros(len(self.texts))
+        common = self.common(query) if common is None else common
+        n, length = self.shared(words)
+        some = n > 0
+        base = np.where(some, length + n - 1, 0)
+        size = np.where(some, base + 1, 0)
+        own = sum(map(len, words)) + len(words) - 1
+        rest_a, rest_b = np.maximum(own - size, 0), np.maximum(self.distinct_length - size, 0)
+        left = np.minimum(np.minimum(rest_a, rest_b), np.maximum(common - length, 0))
+        best = 200.0 * (size + left) / np.maximum(2 * size + rest_a + rest_b, 1)
+        for rest in (rest_a, rest_b):
+            best = np.maximum(best, np.where(some, 200.0 * base / np.maximum(2 * base + 1 + rest, 1), 0.0))
+        best[some & ((n == len(words)) | (n == self.n_tokens))] = 100.0
+        best[self.n_tokens == 0] = 0.0
+        return best
+
+    def weighted_bounds(self, query: str) -> np.ndarray:
+        """Bounds of ``weighted_ratio``."""
+        if not query:
+            return np.zeros(len(self.texts))
+        common = self.common(query)
+        some = self.length > 0
+        short, long = np.minimum(self.length, len(query)), np.maximum(self.length, len(query))
+        whole = 200.0 * common / (self.length + len(query))
+        in_order = 200.0 * np.minimum(common, len(tokens_of(query)[0])) / np.maximum(self.sorted_length + len(tokens_of(query)[0]), 1)
+        near = np.maximum(whole, 0.95 * np.maximum(np.minimum(in_order, 100.0), self.set_bounds(query, common)))
+        scale = np.where(long <= 8 * short, 0.9, 0.6)
+        partial = np.minimum(200.0 * common / np.maximum(short + common, 1), 100.0)
+        fewest = np.minimum(self.distinct_length, len(distinct_of(query)))
+        both = np.minimum(common, np.maximum(fewest, 0))
+        partial_words = np.maximum(partial, np.minimum(200.0 * both / np.maximum(fewest + both, 1), 100.0))
+        words = np.where(self.shared(tokens_of(query)[1])[0] > 0, 95.0 * scale, 0.95 * scale * partial_words)
+        far = np.maximum(whole, np.maximum(words, scale * partial))
+        return np.where(some, np.where(long < 1.5 * short, near, far), 0.0)
+
+    def best(self, bounds: np.ndarray, score: Callable[[str], float], cutoff: float, keep: int, so_far: list[tuple[float, int]]) -> None:
+        """Puts the texts of the ``keep`` highest scores from ``cutoff`` on, of equal ones the smaller ids, into the heap ``so_far`` of (score, -id).
+
+        Texts are compared in the order of their bounds, until no bound is above the least score kept.
+        """
+        least = max(cutoff, so_far[0][0]) if len(so_far) >= keep else cutoff
+        at = np.flatnonzero(bounds >= least - _SLACK)
+        for i in at[np.argsort(-bounds[at], kind="stable")].tolist():
+            full = len(so_far) >= keep
+            if full and bounds[i] < so_far[0][0] - _SLACK:
+                return
+            if full and bounds[i] <= so_far[0][0] and -self.ids[i] < so_far[0][1]:
+                continue
+            s = score(self.texts[i])
+            if s >= cutoff:
+                entry = (s, -self.ids[i])
+                if not full:
+                    heapq.heappush(so_far, entry)
+                elif entry > so_far[0]:
+                    heapq.heapreplace(so_far, entry)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fiscalith.functions import text as X
-from fiscalith.functions.similarity import token_set_ratio, weighted_ratio
+from fiscalith.functions.similarity import Candidates, token_set_ratio, weighted_ratio
 from fiscalith.operators.vectors import hashed_embedding, top_k_cosine
 from fiscalith.plans.registry import query
 from fiscalith.plans.sql_terms import words
@@ -21,7 +21,7 @@ from fiscalith.session import cut_lineage, ship_package
 from fiscalith.sources.tables import read_table
 
 #: Fuzzy queries held against one scan of the titles at most; more are done in further scans.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
 PREFIX_SLACK = 2
 
 _CANDIDATE = ["pe_id", "pe_number", "program_name", "agency", "budget_activity"]
@@ -83,7 +83,10 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
     Two comparisons, each of which keeps three times ``top_n``: the prepared query with the prepared title, and the query as it is
     with the title as it is. The better one counts, the prepared one at equal scores. A query of which preparing leaves nothing, one of
     stop words only, is compared in lower case instead. ``queries`` has a column ``query``. The queries are the stated set: counted, and
-    held against all titles ``block`` at a time.
+    held against all titles ``block`` at a time, each further part in a scan whose result is written down before the next.
+
+    A task reads its titles batch by batch. For each query it first bounds the scores of a batch from the characters and words in common, all at once,
+    and then compares in the order of these bounds until none is above the least score kept: the result is that of comparing all.
     """
     ship_package(elements.sparkSession)
     texts = queries.where(F.trim("query") != "").select("query").distinct()
@@ -94,32 +97,37 @@ def fuzzy_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, cutof
     titles = elements.where(~F.col("is_classified") & (F.col("program_name") != "")).select(
         "pe_id", "program_name", X.processed_query(F.col("program_name"))["expanded"].alias("expanded")
     )
-    n_blocks = max(1, -(-prepared.count() // block))
+    parts = max(1, -(-prepared.count() // block))
     schema = "query string, pe_id bigint, leg int, score double"
     keep = 3 * top_n
     tasks = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Titles are spread evenly by rows; a given number keeps small tables from being put together.
+    titles = titles.repartition(tasks, "pe_id")
     found = None
-    for b in range(n_blocks):
-        mine = prepared if n_blocks == 1 else prepared.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b)
+    for part in range(parts):
+        mine = prepared if parts == 1 else prepared.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
         shared = elements.sparkSession.sparkContext.broadcast([tuple(r.values()) for r in mine.toArrow().to_pylist()])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            rows: list[tuple] = []
-            titles = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns])]
-            for raw, full in shared.value:
-                for leg, scorer, text, column in ((0, partial(weighted_ratio, least=cutoff), full, 2), (1, token_set_ratio, raw, 1)):
-                    scored = ((s, -t[0]) for t in titles if (s := scorer(text, t[column])) >= cutoff)  # ties: smaller id
-                    best = sorted(scored, reverse=True)[:keep]
-                    rows += [(raw, -i, leg, s) for s, i in best]
+            best: dict[tuple[str, int], list[tuple[float, int]]] = {}
+            for batch in batches:
+                ids, raw_titles, full_titles = (c.to_pylist() for c in batch.columns)
+                by_full, by_raw = Candidates(ids, full_titles), Candidates(ids, raw_titles)
+                for raw, full in shared.value:
+                    by_full.best(by_full.weighted_bounds(full), partial(weighted_ratio, full, least=cutoff), cutoff, keep, best.setdefault((raw, 0), []))
+                    by_raw.best(by_raw.set_bounds(raw), partial(token_set_ratio, raw), cutoff, keep, best.setdefault((raw, 1), []))
+            rows = [(raw, -i, leg, s) for (raw, leg), heap in best.items() for s, i in heap]
             q, i, leg, s = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(q, pa.string()), pa.array(i, pa.int64()), pa.array(leg, pa.int32()), pa.array(s, pa.float64())],
                 names=["query", "pe_id", "leg", "score"],
             )
 
-        # Comparing is the work here, so titles are spread evenly by rows; a given number keeps small tables from being put together.
-        part = titles.repartition(tasks, "pe_id").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+        one = titles.mapInArrow(run, schema)
+        if parts > 1:
+            one = cut_lineage(one)
+            shared.destroy()
+        found = one if found is None else found.unionByName(one)
     in_leg = Window.partitionBy("query", "leg").orderBy(F.desc("score"), "pe_id")
     legs = found.withColumn("__n", F.row_number().over(in_leg)).where(F.col("__n") <= keep)
     merged = legs.groupBy("query", "pe_id").agg(

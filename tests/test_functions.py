@@ -144,3 +144,29 @@ def test_shortcuts_change_no_result():
         assert weighted_ratio(a, b) == pytest.approx(full)
         cut = weighted_ratio(a, b, least=70.0)
         assert cut == pytest.approx(full) if full >= 70 else cut < 70
+
+
+def test_bounds_and_the_best_of_many():
+    import heapq  # noqa: F401
+    import random
+
+    from fiscalith.functions.similarity import Candidates, token_set_ratio, weighted_ratio
+
+    rng = random.Random(8)
+    words = "radar radars system systems of Next generation gen naval air defence defense a b é missile missiles 12 x-ray".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(300)] + ["", "radar", "  radar   system ", "z" * 3000, "radar system " * 40]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    queries = ["radar system", "next generation radar", "missle defence", "q", "naval  air", "radar", "z", "x" * 500, "", "System radar of gen air a b"]
+    for scorer, bound in ((weighted_ratio, "weighted_bounds"), (token_set_ratio, "set_bounds")):
+        for q in queries:
+            parts = [Candidates(ids[a:b], texts[a:b]) for a, b in ((0, 100), (100, 101), (101, len(ids)))]
+            for c in parts:
+                for t, limit in zip(c.texts, getattr(c, bound)(q)):
+                    assert scorer(q, t) <= limit + 1e-9, (scorer, q, t)
+            for cutoff, keep in ((55.0, 5), (0.0, 15), (85.5, 3)):
+                heap = []
+                for c in parts:
+                    c.best(getattr(c, bound)(q), lambda t: scorer(q, t), cutoff, keep, heap)
+                want = sorted(((s, -i) for i, t in zip(ids, texts) if (s := scorer(q, t)) >= cutoff), reverse=True)[:keep]
+                assert sorted(heap, reverse=True) == want, (scorer, q, cutoff)
