@@ -182,3 +182,42 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
         return pd.Series(out)
 
     return embed(text)
+
+
+def _with_hash(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("__text", F.xxhash64(text))
+
+
+def missing_vectors(df: DataFrame, id_column: str, text: str, cache: DataFrame) -> DataFrame:
+    """``id_column`` and ``text`` of the rows with a text whose vectors the cache has not: by id, and by the text's hash if the cache has it."""
+    rows = _with_hash(df.where(F.col(text).isNotNull()), text)
+    keys = [id_column, "__text"] if "__text" in cache.columns else [id_column]
+    return rows.join(cache.select(*keys), keys, "left_anti").select(id_column, text)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def cached_vectors(df: DataFrame, id_column: str, text: str, path: str, embed=hashed_embedding) -> DataFrame:
+    """``id_column`` and ``vector`` of all rows with a text, from a Parquet table in ``path`` to which those it has not yet are added first.
+
+    A row whose text has changed is embedded again; vectors of rows that are gone stay in the table and are left out of the result. One writer
+    at a time: two that run together may both add the same row, which the result shows once.
+    """
+    spark = df.sparkSession
+    if _exists(spark, path):
+        fresh = missing_vectors(df, id_column, text, spark.read.parquet(path))
+    else:
+        fresh = df.where(F.col(text).isNotNull()).select(id_column, text)
+    _with_hash(fresh, text).select(id_column, "__text", embed(F.col(text)).alias("vector")).write.mode("append").parquet(path)
+    wanted = _with_hash(df.where(F.col(text).isNotNull()), text).select(id_column, "__text").distinct()
+    have = spark.read.parquet(path).dropDuplicates([id_column, "__text"])
+    return have.join(wanted, [id_column, "__text"], "left_semi").select(id_column, "vector")
+
+
+def invalidate_vectors(spark: SparkSession, path: str) -> bool:
+    """Deletes the table of ``cached_vectors``, so that all are embedded anew; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

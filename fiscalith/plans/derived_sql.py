@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fiscalith.functions.text import BUDGET_ACTIVITIES
-from fiscalith.plans.policy import _TO_ELEMENTS
+from fiscalith.plans.policy import to_elements_sql
 from fiscalith.plans.quality_sql import ORACLES as QUALITY
 from fiscalith.plans.trends import BASE_SQL, _wide_sql
 
@@ -41,7 +41,7 @@ ORACLES = {
     + _LONG.format(keep="raw_id, pe_number, agency", fy="fy", source="c")
     + ") f JOIN els USING (pe_number, agency)",
     "ana10_gap_analysis": BASE_SQL
-    + f""", {_TO_ELEMENTS}, w AS (SELECT pe_id, {_wide_sql(2018, 2026, 'FY{}_$M')} FROM facts WHERE funding_type = 'BY Request' AND fiscal_year BETWEEN 2018 AND 2026 GROUP BY pe_id),
+    + f""", {to_elements_sql("doc_type = 'NDAA'")}, w AS (SELECT pe_id, {_wide_sql(2018, 2026, 'FY{}_$M')} FROM facts WHERE funding_type = 'BY Request' AND fiscal_year BETWEEN 2018 AND 2026 GROUP BY pe_id),
       y AS (SELECT min(fiscal_year) AS first_fy, max(fiscal_year) AS last_fy FROM facts WHERE funding_type = 'BY Request' AND fiscal_year BETWEEN 2018 AND 2026),
       t AS (SELECT w.*, CASE first_fy {' '.join(f'WHEN {n} THEN "FY{n}_$M"' for n in _YEARS)} END AS va, CASE last_fy {' '.join(f'WHEN {n} THEN "FY{n}_$M"' for n in _YEARS)} END AS vb FROM w, y)
       SELECT b.query, b.pe_id, e.pe_number, e.program_name, e.agency, e.budget_activity, CAST(round(CAST(score AS DECIMAL(28,8)), 4) AS DOUBLE) AS relevance_score,

@@ -15,7 +15,7 @@ from fiscalith.functions import text as X
 from fiscalith.functions.similarity import Candidates, token_set_ratio, weighted_ratio
 from fiscalith.operators.vectors import hashed_embedding, top_k_cosine
 from fiscalith.plans.registry import query
-from fiscalith.plans.sql_terms import words
+from fiscalith.plans.sql_terms import cosines, hashed_vectors, words
 from fiscalith.plans.trends import BASE_SQL, elements
 from fiscalith.session import cut_lineage, ship_package
 from fiscalith.sources.tables import read_table
@@ -151,6 +151,18 @@ def semantic_matches(queries: DataFrame, elements: DataFrame, top_n: int = 5, th
     return top_k_cosine(q, "query", "__v", titles, "pe_id", "__v", top_n, threshold)
 
 
+def best_fuzzy_match(queries: DataFrame, elements: DataFrame, cutoff: float = 75.0) -> DataFrame:
+    """``query``, ``pe_id``, ``program_name`` and ``score`` of the closest title of each query; none below ``cutoff``."""
+    best = fuzzy_matches(queries, elements, 1, cutoff)
+    return best.join(elements.select("pe_id", "program_name"), "pe_id").select("query", "pe_id", "program_name", "score")
+
+
+def best_semantic_match(queries: DataFrame, elements: DataFrame, threshold: float = 0.45, embed=hashed_embedding) -> DataFrame:
+    """The same by vectors."""
+    best = semantic_matches(queries, elements, 1, threshold, embed)
+    return best.join(elements.select("pe_id", "program_name"), "pe_id").select("query", "pe_id", "program_name", "score")
+
+
 def link_queries(
     queries: DataFrame,
     elements: DataFrame,
@@ -295,9 +307,15 @@ def mat04_fuzzy_matches(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_matches(_stated_queries(spark, folder), elements(spark, folder), 5, 55.0)
 
 
-@query()
-def mat06_semantic_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return semantic_matches(_stated_queries(spark, folder), elements(spark, folder))
+@query(
+    BASE_SQL
+    + """SELECT query, min(pe_id) AS pe_id, query AS program_name, 100.0::DOUBLE AS score FROM (SELECT DISTINCT program_name AS query FROM elements WHERE pe_id % 100 = 0) q
+      JOIN (SELECT pe_id, program_name FROM elements WHERE NOT is_classified) e ON program_name = query WHERE trim(query) <> '' GROUP BY query"""
+)
+def mat05_best_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    """The closest title of each stated query, which is one itself: its own, or the first of those equal to it (MAT-05)."""
+    q = _stated_queries(spark, folder).join(elements(spark, folder).where(~F.col("is_classified")), F.col("query") == F.col("program_name"), "left_semi")
+    return best_fuzzy_match(q, elements(spark, folder))
 
 
 #: Free texts that no title is equal to: plain words, an acronym, misspellings, a number inside words, words of no program, blanks.
@@ -351,6 +369,32 @@ _NORMAL_SQL = (
 )
 
 
+_SEARCHED = rf"""n AS (SELECT pe_id, program_name, is_classified, {_NORMAL_SQL} AS normalized FROM elements),
+  x AS (SELECT *, array_to_string(list_transform(string_split(normalized, ' '), lambda w: coalesce(m[w], w)), ' ') AS expanded FROM n, (SELECT {_abbreviation_sql()} AS m)),
+  s AS (SELECT pe_id, program_name, is_classified, coalesce(nullif(expanded, ''), nullif(normalized, ''), program_name) AS text FROM x),
+  {hashed_vectors('a', "SELECT DISTINCT program_name AS id, text FROM s WHERE pe_id % 100 = 0 AND trim(program_name) <> ''")},
+  {hashed_vectors('b', "SELECT pe_id AS id, text FROM s WHERE NOT is_classified")}, {cosines('t', 'a', 'b')}"""
+
+
+def _nearest_sql(columns: str, n: int, least: float) -> str:
+    return (
+        BASE_SQL
+        + f""", {_SEARCHED} SELECT {columns} FROM (SELECT query, other AS pe_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, other) AS INTEGER) AS rank
+      FROM t WHERE score >= {least}) r JOIN elements e USING (pe_id) WHERE rank <= {n}"""
+    )
+
+
+@query(_nearest_sql("query, pe_id, score, rank", 5, 0.35))
+def mat06_semantic_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic_matches(_stated_queries(spark, folder), elements(spark, folder))
+
+
+@query(_nearest_sql("query, pe_id, program_name, score", 1, 0.45))
+def mat07_best_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest title of each stated query (MAT-07)."""
+    return best_semantic_match(_stated_queries(spark, folder), elements(spark, folder))
+
+
 @query(
     BASE_SQL
     + rf""", n AS (SELECT pe_id, program_name, {_NORMAL_SQL} AS normalized FROM elements)

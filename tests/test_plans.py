@@ -4,12 +4,22 @@ import random
 from pyspark.sql import functions as F
 
 from fiscalith.operators.sequences import carry_forward, running_sum
-from fiscalith.operators.vectors import top_k_cosine
+from fiscalith.operators.vectors import cached_vectors, invalidate_vectors, missing_vectors, top_k_cosine
 from fiscalith.plans.chunking import section_chunks, window_chunks
 from fiscalith.plans.ingest import cascade, numbered, replace_documents, star_schema
-from fiscalith.plans.linking import acronym_index, acronym_lookup, fuzzy_matches, link_queries, link_two_stage, semantic_matches
+from fiscalith.plans.linking import (
+    acronym_index,
+    acronym_lookup,
+    acronym_matches,
+    best_fuzzy_match,
+    best_semantic_match,
+    fuzzy_matches,
+    link_queries,
+    link_two_stage,
+    semantic_matches,
+)
 from fiscalith.plans.listing import SAMPLE_PAGE, deduplicated, file_rows
-from fiscalith.plans.policy import search_chunks
+from fiscalith.plans.policy import gap_analysis, policy_to_elements, search_chunks, section_mapping, section_representatives
 from fiscalith.plans.trends import agency_trends, explore, funding_gaps, latest_funding
 
 ELEMENTS = "pe_id bigint, pe_number string, program_name string, agency string, budget_activity string, is_classified boolean"
@@ -120,6 +130,12 @@ def test_acronyms(spark):
     assert got == {("LTAMD", 1, 1.0), ("LTAMDS", 1, 0.85), ("LTA", 1, 0.9), ("MSHORAD", 2, 1.0)}
 
 
+def test_the_first_lookup_that_finds_an_element_scores_it(spark):
+    index = spark.createDataFrame([(1, "n", "RAD"), (2, "n", "SHIP"), (1, "n", "RADS")], "pe_id int, pe_number string, acronym string")
+    lookups = spark.createDataFrame([("q", 0, "RA"), ("q", 1, "RAD"), ("q", 2, "SHIP")], "query string, position int, key string")
+    assert {(r.pe_id, r.acronym, r.score) for r in acronym_matches(lookups, index).collect()} == {(1, "RAD", 0.9), (2, "SHIP", 1.0)}
+
+
 def test_waterfall(spark):
     asked = ["0604114A", "LTAMDS", "Hypersonic Glide Bodies", "", None, "qqq zzz"]
     rows = link_queries(spark.createDataFrame([(q,) for q in asked], "query string"), elements(spark)).collect()
@@ -237,3 +253,47 @@ def test_entry_and_queries(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
     json.dumps(sql)
+
+
+def test_best_matches(spark):
+    asked = spark.createDataFrame([("hypersonic glide body prototypes",), ("qqq",), (" ",)], "query string")
+    assert [tuple(r)[:3] for r in best_fuzzy_match(asked, elements(spark)).collect()] == [("hypersonic glide body prototypes", 4, "Hypersonic Glide Body Prototype")]
+    assert [tuple(r)[:3] for r in best_semantic_match(asked, elements(spark)).collect()] == [("hypersonic glide body prototypes", 4, "Hypersonic Glide Body Prototype")]
+
+
+def test_sections_without_titles(spark):
+    rows = [(1, i, 7, i // 2, t, f"text {i}", "NDS", 2018 + (i >= 30), None) for i, t in enumerate([None, " "] * 15 + ["A", "B", "A", " A ", None])]
+    meta = spark.createDataFrame(rows, "document_id int, chunk_id int, x int, chunk_index int, section_title string, text string, doc_type string, doc_year int, fiscal_year int")
+    got = {(r.doc_year, r.section.strip(), r.chunk_id) for r in section_representatives(meta, ["doc_year"]).collect()}
+    assert got == {(2018, "", i) for i in range(20)} | {(2019, "A", 30), (2019, "B", 31)}
+    mapped = section_mapping(meta.withColumn("text", F.lit("hypersonic glide body prototype")), elements(spark), years=[2019]).collect()
+    assert {(r.nds_year, r.nds_section) for r in mapped} == {(2019, "A"), (2019, "B")} and mapped[0].pe_id == 4
+    assert section_mapping(meta, elements(spark), "NSS").count() == 0
+
+
+def test_context_filters(spark):
+    meta = spark.createDataFrame(
+        [(i, i, 0, None, f"t{i}", "text", "NDS" if i < 3 else "NDAA", 2000 + i, None) for i in range(6)],
+        "chunk_id bigint, document_id bigint, chunk_index int, section_id string, section_title string, text string, doc_type string, doc_year int, fiscal_year int",
+    )
+    hits = spark.createDataFrame([(0, i, 0.9 - i / 10, i + 1) for i in range(5)], "query int, chunk_id bigint, score double, rank int")
+    about = (hits.withColumnRenamed("chunk_id", "pe_id"), hits, meta, elements(spark), facts(spark))
+    plain = policy_to_elements(*about).first().policy_context
+    assert plain == "[NDS 2000 t0]; [NDS 2001 t1]; [NDS 2002 t2]"
+    assert policy_to_elements(*about, doc_types=["NDAA"]).first().policy_context == "[NDAA 2003 t3]; [NDAA 2004 t4]"
+    assert policy_to_elements(*about, years=[2001]).first().policy_context == "[NDS 2001 t1]"
+    gaps = {r.pe_id: r for r in gap_analysis(*about, 2024, 2025, ["NDAA", "NDS"], least=0.5).collect()}
+    assert gaps[1].policy_context == "[NDAA 2003 t3]; [NDAA 2004 t4]" and gaps[1]["FY2025_$M"] == 0.08 and gaps[4]["FY2025_$M"] is None
+
+
+def test_vector_cache(spark, tmp_path):
+    path = f"{tmp_path}/vectors"
+    df = spark.createDataFrame([(1, "radar"), (2, None), (3, "ship"), (3, "ship")], "id int, t string")
+    first = {r.id: r.vector for r in cached_vectors(df, "id", "t", path).collect()}
+    assert sorted(first) == [1, 3]
+    changed = spark.createDataFrame([(1, "radars"), (3, "ship"), (4, "new")], "id int, t string")
+    assert {r.id for r in missing_vectors(changed, "id", "t", spark.read.parquet(path)).collect()} == {1, 4}
+    again = {r.id: r.vector for r in cached_vectors(changed, "id", "t", path).collect()}
+    assert sorted(again) == [1, 3, 4] and again[3] == first[3] and again[1] != first[1]
+    assert invalidate_vectors(spark, path) and not invalidate_vectors(spark, path)
+    assert cached_vectors(df.where("id = 1"), "id", "t", path).count() == 1
