@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fiscalith.session import cut_lineage, ship_package
+from fiscalith.sources.tables import table_exists
 
 #: Numbers, of vectors and of results, that the queries held against one scan of the corpus may take; more queries are done in further scans.
 SCAN_NUMBERS = 1 << 23
@@ -195,11 +196,6 @@ def missing_vectors(df: DataFrame, id_column: str, text: str, cache: DataFrame)
     return rows.join(cache.select(*keys), keys, "left_anti").select(id_column, text)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def cached_vectors(df: DataFrame, id_column: str, text: str, path: str, embed=hashed_embedding) -> DataFrame:
     """``id_column`` and ``vector`` of all rows with a text, from a Parquet table in ``path`` to which those it has not yet are added first.
 
@@ -207,7 +203,7 @@ def cached_vectors(df: DataFrame, id_column: str, text: str, path: str, embed=ha
     at a time: two that run together may both add the same row, which the result shows once.
     """
     spark = df.sparkSession
-    if _exists(spark, path):
+    if table_exists(spark, path):
         fresh = missing_vectors(df, id_column, text, spark.read.parquet(path))
     else:
         fresh = df.where(F.col(text).isNotNull()).select(id_column, text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from fiscalith.functions import text as X
 from fiscalith.functions.numeric import safe_double
 from fiscalith.plans.registry import query
 from fiscalith.plans.trends import unpivot_amounts
+from fiscalith.session import cut_lineage
 from fiscalith.sources.tables import read_table
 
 
@@ -26,8 +29,6 @@ def numbered(dimension: DataFrame, keys: list[str], name: str, start: int = 0) -
     Keys are range-partitioned and counted by partition; a prefix sum over the partitions gives where each begins, so no task
     numbers the whole dimension.
     """
-    from fiscalith.session import cut_lineage
-
     order = [F.asc_nulls_first(k) for k in keys]
     placed = cut_lineage(dimension.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -42,13 +43,30 @@ def numbered(dimension: DataFrame, keys: list[str], name: str, start: int = 0) -
     )
 
 
-def star_schema(rows: DataFrame, order: list[str]) -> dict[str, DataFrame]:
-    """source_documents, program_elements and funding_lines from parsed listing rows.
+def _highest(table: DataFrame | None) -> int:
+    """The highest id of a table, 0 without one: one row to the driver."""
+    return 0 if table is None else table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
+def _with_known(fresh: DataFrame, known: DataFrame | None, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``known`` as they are, and those that ``build`` makes of ``fresh`` rows of other keys."""
+    if known is None:
+        return build(fresh)
+    made = build(fresh.join(known.select(*keys), keys, "left_anti"))
+    return known.select(*made.columns).unionByName(made)
+
+
+def star_schema(
+    rows: DataFrame, order: list[str], existing: Mapping[str, DataFrame] | None = None, processed: Column | None = None
+) -> dict[str, DataFrame]:
+    """source_documents, program_elements and funding_lines from parsed listing rows, put to the ``existing`` ones if these are given.
 
     Rows without a fiscal year are skipped. The first row of a file or element in ``order`` gives its attributes. A classified or
-    unnumbered row gets a number made from agency, activity and year. Ids depend on the keys alone, and equal facts of an element from
-    one row are kept apart by ``order``: the same rows give the same tables however often they are ingested.
+    unnumbered row gets a number made from agency, activity and year. What is known keeps its id and attributes; new files, elements (by
+    number and agency) and lines are numbered on from the highest id, in the order of their keys, lines in ``order`` and by type. A file that is known
+    was loaded whole before and is passed over, so that loading it again changes nothing. ``processed`` (now, unless given) is the date of new files.
     """
+    known = dict(existing or {})
     usable = rows.where(F.col("fiscal_year").isNotNull())
     filename = F.coalesce(F.nullif("source_file", F.lit("")), F.lit("unknown"))
     agency = F.trim(F.coalesce("component", F.lit("Unknown")))
@@ -58,32 +76,49 @@ def star_schema(rows: DataFrame, order: list[str]) -> dict[str, DataFrame]:
         agency.alias("agency"),
         X.surrogate_pe_number(F.col("pe_number"), agency, F.trim("act_code"), F.col("fiscal_year"), F.coalesce("is_classified", F.lit(False))).alias("pe_number"),
     )
-    documents = first_rows(clean, ["filename"], order, ["fiscal_year"])
-    documents = numbered(documents.drop("__at"), ["filename"], "id").select(
-        "id", "filename", F.lit("R1").alias("document_type"), F.col("fiscal_year").alias("publication_year")
-    )
+    old_documents, old_elements, old_lines = (known.get(t) for t in ("source_documents", "program_elements", "funding_lines"))
+    if old_documents is not None:
+        clean = clean.join(old_documents.select("filename"), "filename", "left_anti")
+
+    documents = _with_known(
+        first_rows(clean, ["filename"], order, ["fiscal_year"]).drop("__at"),
+        old_documents,
+        ["filename"],
+        lambda fresh: numbered(fresh, ["filename"], "id", _highest(old_documents)).select(
+            "id", "filename", F.lit("R1").alias("document_type"), F.col("fiscal_year").alias("publication_year"),
+            (F.current_timestamp() if processed is None else processed).alias("processed_date"),
+        ),
+    )
+    documents = cut_lineage(documents)
     attributes = ["filename", "line_no", "pe_title", "appropriation", "budget_activity", "act_code", "is_classified"]
-    elements = first_rows(clean, ["pe_number", "agency"], order, attributes).drop("__at")
 
     def blank_to_null(c: str) -> Column:
         return F.nullif(F.trim(c), F.lit(""))
 
-    elements = numbered(elements, ["pe_number", "agency"], "id").join(
-        documents.select(F.col("id").alias("source_document_id"), "filename"), "filename"
-    ).select(
-        "id", "source_document_id", "pe_number", F.col("line_no").cast("string").alias("line_item_number"),
-        F.trim(F.coalesce("pe_title", F.lit("Unknown"))).alias("program_name"), "agency", blank_to_null("appropriation").alias("appropriation"),
-        blank_to_null("budget_activity").alias("budget_activity"), blank_to_null("act_code").alias("act_code"),
-        F.coalesce("is_classified", F.lit(False)).alias("is_classified"),
+    elements = _with_known(
+        first_rows(clean, ["pe_number", "agency"], order, attributes).drop("__at"),
+        old_elements,
+        ["pe_number", "agency"],
+        lambda fresh: numbered(fresh, ["pe_number", "agency"], "id", _highest(old_elements))
+        .join(documents.select(F.col("id").alias("source_document_id"), "filename"), "filename")
+        .select(
+            "id", "source_document_id", "pe_number", F.col("line_no").cast("string").alias("line_item_number"),
+            F.trim(F.coalesce("pe_title", F.lit("Unknown"))).alias("program_name"), "agency", blank_to_null("appropriation").alias("appropriation"),
+            blank_to_null("budget_activity").alias("budget_activity"), blank_to_null("act_code").alias("act_code"),
+            F.coalesce("is_classified", F.lit(False)).alias("is_classified"),
+        ),
     )
+    elements = cut_lineage(elements)
     typed = clean.withColumns({c: safe_double(F.col(c)) for c in ("py_amount", "cy_amount", "by_amount")})
     long = unpivot_amounts(typed, ["pe_number", "agency", *order])
-    lines = long.join(elements.select(F.col("id").alias("program_element_id"), "pe_number", "agency"), ["pe_number", "agency"])
-    return {
-        "source_documents": documents,
-        "program_elements": elements,
-        "funding_lines": lines.select("program_element_id", "fiscal_year", "funding_type", "amount_thousands", *order),
-    }
+    lines = long.join(elements.select(F.col("id").alias("program_element_id"), "pe_number", "agency"), ["pe_number", "agency"]).select(
+        "program_element_id", "fiscal_year", "funding_type", "amount_thousands", *order
+    )
+    lines = numbered(lines, [*order, "funding_type", "program_element_id"], "id", _highest(old_lines))
+    lines = lines.select("id", "program_element_id", "fiscal_year", "funding_type", "amount_thousands", *order)
+    if old_lines is not None:
+        lines = old_lines.select(*lines.columns).unionByName(lines)
+    return {"source_documents": documents, "program_elements": elements, "funding_lines": lines}
 
 
 def replace_documents(existing: DataFrame, fresh: DataFrame, key: str, replace: bool) -> DataFrame:
@@ -119,7 +154,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def dml03_elements(spark: SparkSession, folder: str) -> DataFrame:
-    """Program elements from the delivered records (DML-01, WIN-13, SC-S22, PRJ-05, JOIN-08)."""
+    """Program elements from the delivered records (WIN-13, SC-S22, PRJ-05, JOIN-08)."""
     return star_schema(_records(spark, folder), ["raw_id"])["program_elements"]
 
 
@@ -129,6 +164,35 @@ def dml03_lines(spark: SparkSession, folder: str) -> DataFrame:
     return star_schema(_records(spark, folder), ["raw_id"])["funding_lines"]
 
 
+def _second_load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The files of even years put to those of odd years, which were loaded before."""
+    rows = _records(spark, folder)
+    year = F.regexp_extract("source_file", "([0-9]{4})", 1).try_cast("int")
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    first = star_schema(rows.where(year % 2 == 1), ["raw_id"], processed=at)
+    first["funding_lines"] = cut_lineage(first["funding_lines"])
+    return star_schema(rows, ["raw_id"], first, F.lit("2026-02-01 00:00:00").cast("timestamp"))
+
+
+@query()
+def dml01_second_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Program elements after a second load: those of the first keep their ids (DML-01)."""
+    return _second_load(spark, folder)["program_elements"]
+
+
+@query()
+def dml01_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Files after a second load, with the day each was loaded on (DML-01, SC-D4)."""
+    out = _second_load(spark, folder)["source_documents"]
+    return out.withColumn("processed_date", F.date_format("processed_date", "yyyy-MM-dd"))
+
+
+@query()
+def dml01_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Funding lines after a second load (DML-01, DML-03)."""
+    return _second_load(spark, folder)["funding_lines"]
+
+
 @query(
     """SELECT c.id AS chunk_id FROM policy_chunks c WHERE c.document_id IN (SELECT id FROM policy_documents WHERE doc_type = 'NDAA')"""
 )

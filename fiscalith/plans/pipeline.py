@@ -15,7 +15,9 @@ from fiscalith.plans.listing import deduplicated, file_rows
 from fiscalith.plans.trends import agency_trends, facts, funding_gaps, elements, pe_trends
 from fiscalith.sources.discovery import file_name, fiscal_year_of_name, year_of_name
 from fiscalith.sources.pages import extract_with_fallback
+from fiscalith.session import cut_lineage
 from fiscalith.sources.sinks import save_by, write_workbook
+from fiscalith.sources.tables import table_exists
 
 LISTING_COLUMNS = [
     "fiscal_year", "component", "appropriation", "budget_activity", "pe_number", "pe_title", "line_no", "act_code", "is_classified",
@@ -72,11 +74,17 @@ def parse_policies(
 
 
 def load_star(rows: DataFrame, out: str) -> dict[str, DataFrame]:
-    """Parsed rows as the star schema in ``out``, overwritten: running it again changes nothing."""
-    tables = star_schema(rows, ["filename", "line_no", "pe_title"])
+    """Parsed rows put to the star schema in ``out``, which is made if it is not there; running it again changes nothing.
+
+    All three tables are worked out and written to the shared folder before the first of the old ones is replaced.
+    """
+    spark = rows.sparkSession
+    names = ("source_documents", "program_elements", "funding_lines")
+    existing = {n: spark.read.parquet(f"{out}/{n}.parquet") for n in names} if table_exists(spark, f"{out}/{names[0]}.parquet") else None
+    tables = {name: cut_lineage(df) for name, df in star_schema(rows, ["filename", "line_no", "pe_title"], existing).items()}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
-    return {name: rows.sparkSession.read.parquet(f"{out}/{name}.parquet") for name in tables}
+    return {name: spark.read.parquet(f"{out}/{name}.parquet") for name in names}
 
 
 def executive_report(spark: SparkSession, folder: str, queries: Sequence[str], first: int, last: int, path: str) -> dict[str, DataFrame]:

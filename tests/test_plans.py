@@ -95,6 +95,26 @@ def test_star_schema_is_idempotent(spark):
     assert sorted(map(tuple, again["program_elements"].collect())) == sorted(map(tuple, out["program_elements"].collect()))
 
 
+def test_second_load_keeps_ids(spark):
+    schema = (
+        "pos int, fiscal_year int, component string, pe_number string, pe_title string, line_no bigint, act_code string, is_classified boolean, "
+        "py_amount double, cy_amount double, by_amount double, source_file string, appropriation string, budget_activity string"
+    )
+    row = lambda pos, number, file, year=2025: (pos, year, "Army", number, f"T{pos}", pos, "01", False, 1.0, None, 2.0, file, None, None)
+    first = star_schema(spark.createDataFrame([row(1, "0600002A", "m.pdf")], schema), ["pos"], processed=F.lit("2026-01-01").cast("timestamp"))
+    both = spark.createDataFrame([row(1, "0600002A", "m.pdf"), row(2, "0600001A", "a.pdf"), row(3, "0600002A", "a.pdf", 2026)], schema)
+    second = star_schema(both, ["pos"], first, F.lit("2026-02-01").cast("timestamp"))
+    assert {r.pe_number: (r.id, r.program_name) for r in second["program_elements"].collect()} == {"0600002A": (1, "T1"), "0600001A": (2, "T2")}
+    assert {r.filename: (r.id, r.processed_date.month) for r in second["source_documents"].collect()} == {"m.pdf": (1, 1), "a.pdf": (2, 2)}
+    lines = sorted((r.id, r.program_element_id, r.fiscal_year) for r in second["funding_lines"].collect())
+    assert lines == [(1, 1, 2025), (2, 1, 2023), (3, 2, 2025), (4, 2, 2023), (5, 1, 2026), (6, 1, 2024)]
+    third = star_schema(both, ["pos"], second)
+    for name, table in second.items():
+        assert sorted(map(tuple, third[name].collect())) == sorted(map(tuple, table.collect()))
+    empty = star_schema(spark.createDataFrame([], schema), ["pos"])
+    assert [t.count() for t in empty.values()] == [0, 0, 0]
+
+
 def test_numbering_is_dense(spark):
     ids = [r.id for r in numbered(spark.range(500).select(F.col("id").alias("k")), ["k"], "id").orderBy("k").collect()]
     assert ids == list(range(1, 501))
