@@ -351,38 +351,6 @@ def paragraphs(c: Column, separator: str = "\n\n") -> Column:
     return F.filter(F.transform(F.split(c, separator, -1), stripped), lambda p: p != "")
 
 
-def sliding(items: Column, size: int = 4, overlap: int = 1) -> Column:
-    """Windows of ``size`` items, each beginning with the last ``overlap`` of the one before; the ragged end is kept."""
-    step = max(1, size - overlap)
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
-
-
-def packed(items: Column, budget: int, joiner: str = "\n\n") -> Column:
-    """Greedy packing in order: an item opens a new pack when it would take the open one over ``budget`` tokens.
-
-    Gives ``array<struct<text, token_count>>``; the count is the sum over items, and an item larger than the budget is a pack
-    of its own.
-    """
-    kind = "array<struct<text:string,token_count:int>>"
-
-    def step(done: Column, item: Column) -> Column:
-        n = approx_tokens(item)
-        last = F.element_at(done, -1)
-        fresh = F.array(F.struct(item.alias("text"), n.alias("token_count")))
-        grown = F.array(
-            F.struct(F.concat(last["text"], F.lit(joiner), item).alias("text"), (last["token_count"] + n).alias("token_count"))
-        )
-        return (
-            F.when(F.size(done) == 0, fresh)
-            .when(last["token_count"] + n > budget, F.concat(done, fresh))
-            .otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), grown))
-            .cast(kind)
-        )
-
-    return F.aggregate(items, F.array().cast(kind), step)
-
-
 def carried(items: Column, kind: str, default: Column) -> Column:
     """``items`` with each null replaced by the last element before it, ``default`` until the first; ``kind`` is the element type."""
     none = F.array().cast(f"array<{kind}>")

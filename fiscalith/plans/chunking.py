@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fiscalith.functions import documents as D
 from fiscalith.functions import text as X
 from fiscalith.operators.sequences import carry_forward
 from fiscalith.plans.registry import query
+from fiscalith.session import ship_package
+from fiscalith.sources.pages import is_native
 from fiscalith.sources.tables import read_table
 
-MIN_SECTION_TOKENS, MAX_SECTION_TOKENS, FLAT_TOKENS, MIN_WINDOW_TOKENS = 50, 800, 500, 30
+#: Characters of chunks that a task gathers before it hands them on.
+GATHERED = 1 << 24
+
+_SECTIONS = "chunk_index int, page_number int, section_id string, section_title string, text string, token_count int"
+_WINDOWS = "page_number int, window int, section_title string, text string, token_count int"
+
+
+def _cut(documents: DataFrame, key: str, text: str, cutter: Callable[[str], Iterator[tuple]], columns: str) -> DataFrame:
+    """``key`` and ``columns`` of what ``cutter`` makes of each text. A document is cut as it is read; chunks go on in bounded batches."""
+    ship_package(documents.sparkSession)
+    fields = T.StructType.fromDDL(columns).fields
+    schema = T.StructType([documents.schema[key], *fields])
+    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in fields]
 
-_CHUNK = "struct<page_number:int,section_id:string,section_title:string,text:string,token_count:int>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(ids: pa.Array, index: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            made = [pa.array(list(c), kind) for c, kind in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(index, pa.int64())), *made], names=schema.names)
 
+        for batch in batches:
+            index: list[int] = []
+            rows: list[tuple] = []
+            size = 0
+            for i, one in enumerate(batch.column(1)):
+                for row in cutter(one.as_py()):
+                    index.append(i)
+                    rows.append(row)
+                    size += len(row[-2])
+                    if size > GATHERED:
+                        yield emit(batch.column(0), index, rows)
+                        index, rows, size = [], [], 0
+            yield emit(batch.column(0), index, rows)
 
-def _chunk(page: Column, sec: Column, title: Column, text: Column, tokens: Column) -> Column:
-    return F.struct(
-        page.alias("page_number"), sec.alias("section_id"), title.alias("section_title"), text.alias("text"), tokens.alias("token_count")
-    ).cast(_CHUNK)
+    return documents.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
 
 
 def section_chunks(documents: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -27,116 +58,75 @@ def section_chunks(documents: DataFrame, key: str, text: str, separator: str = "
 
     Text is cut before each section heading; what comes before the first is left out, as are boilerplate and very
     short sections. A section over the limit is packed by paragraphs; any other stays whole and gets the page
-    whose end its start reaches. Documents without a heading are packed by paragraphs. Everything happens inside the row
-    of the document, so there is no shuffle and the index is the position in the array. Null text gives no chunk.
+    whose end its start reaches. Documents without a heading are packed by paragraphs. A document is cut in one pass and one task, so there is
+    no shuffle, and the time grows with its length. Null and empty texts give no chunk.
     """
-    null = F.lit(None)
-    pages = F.split(F.col("__raw"), "\f", -1)
-    parts = F.split(F.col("__clean"), f"(?imd)(?={X.SECTION})")
-    pattern = f"(?imd){X.SECTION}"
-    none = F.array().cast(f"array<{_CHUNK}>")
-
-    def headed(p: Column, i: Column) -> Column:
-        """What the patterns find in a part, once; the part before the first heading has no number."""
-        title = F.regexp_replace(X.stripped(F.regexp_extract(p, pattern, 2)), r"\.+$", "")
-        return F.struct(
-            X.stripped(p).alias("body"),
-            title.alias("title"),
-            F.regexp_extract(p, pattern, 1).alias("number"),
-            F.get(F.col("__starts"), i).alias("start"),
-        )
 
-    def section(s: Column) -> Column:
-        body, title, start = s["body"], s["title"], s["start"]
-        sec = F.concat(F.lit("SEC. "), s["number"])
-        name = F.when(title != "", F.substring(title, 1, 500))
-        # Pages whose text ends before the section starts, plus one; none if the text ends earlier.
-        before = F.size(F.filter(F.col("__page_ends"), lambda e: e < start))
-        page = F.when(before < F.size("__page_ends"), before + 1)
-        tokens = X.approx_tokens(body)
-        whole = F.array(_chunk(page, sec, name, body, tokens))
-        packs = F.transform(
-            X.packed(X.paragraphs(body, separator), MAX_SECTION_TOKENS),
-            lambda b: _chunk(null, sec, name, b["text"], b["token_count"]),
-        )
-        kept = (s["number"] != "") & (tokens >= MIN_SECTION_TOKENS) & ~title.rlike(X.SKIPPED_TITLE)
-        return F.when(kept & (tokens > MAX_SECTION_TOKENS), packs).when(kept, whole).otherwise(none)
-
-    def running(items: Column) -> Column:
-        """Total length up to and with each item."""
-        grown = F.aggregate(
-            items,
-            F.array().cast("array<int>"),
-            lambda done, p: F.concat(done, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), done), -1), F.lit(0)) + F.length(p))),
-        )
-        return grown
+    def cutter(raw: str) -> Iterator[tuple]:
+        return ((i, *chunk) for i, chunk in enumerate(D.section_chunks(raw, separator)))
 
-    flat = F.transform(
-        X.packed(X.paragraphs(F.col("__clean"), separator), FLAT_TOKENS), lambda b: _chunk(null, null, null, b["text"], b["token_count"])
-    )
-    prepared = (
-        documents.where(F.col(text).isNotNull())
-        .select(F.col(key), F.col(text).alias("__raw"))
-        .withColumn("__clean", X.cleaned_page(F.regexp_replace("__raw", "\f", "\n")))
-        .withColumn("__parts", parts)
-        .withColumn("__page_ends", running(pages))
-        .withColumn("__starts", F.concat(F.array(F.lit(0)), running(F.col("__parts"))))
-        .withColumn("__sections", F.transform("__parts", headed))
-    )
-    chunks = F.when(F.col("__clean").rlike(pattern), F.flatten(F.transform("__sections", section))).otherwise(flat)
-    return prepared.select(key, F.posexplode(chunks).alias("chunk_index", "__c")).select(key, "chunk_index", "__c.*")
+    return _cut(documents, key, text, cutter, _SECTIONS)
 
 
 def window_chunks(documents: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
     """Chunks of documents by overlapping windows of four paragraphs a page, under the last heading met.
 
     The last heading of a page labels all of its windows; pages without one take the heading before, the first pages
-    ``Introduction``. Windows under 30 tokens are left out. Headings are carried inside the row of the document: no shuffle.
+    ``Introduction``. Windows under 30 tokens are left out. One pass over each document: no shuffle.
     """
-    def heading(page: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(page, F.lit(X.HEADING), F.lit(1)), X.stripped)
-        long = F.filter(found, lambda h: (F.length(h) > 5) & ~h.rlike("^[0-9]+$"))
-        return F.try_element_at(long, F.lit(-1))
-
-    cleaned = documents.where(F.col(text).isNotNull()).select(
-        F.col(key), F.transform(F.split(F.col(text), "\f", -1), X.cleaned_page).alias("__pages")
-    )
-    titles = X.carried(F.transform("__pages", heading), "string", F.lit("Introduction"))
-    labelled = (
-        cleaned.select(key, F.posexplode(F.arrays_zip("__pages", titles.alias("__titles"))).alias("__p", "__z"))
-        .select(key, (F.col("__p") + 1).alias("page_number"), F.col("__z.__pages").alias("__clean"), F.col("__z.__titles").alias("__heading"))
-        .where("__clean <> ''")
-    )
-    # Its own step: inside the window expression the paragraphs would be cut anew for every window.
-    divided = labelled.withColumn("__paragraphs", X.paragraphs(F.col("__clean"), separator))
-    windows = divided.select(
-        key,
-        "page_number",
-        F.substring("__heading", 1, 500).alias("section_title"),
-        F.posexplode(X.sliding(F.col("__paragraphs"))).alias("window", "__w"),
-    )
-    text_of = F.array_join("__w", "\n\n")
-    return windows.select(
-        key, "page_number", "window", "section_title", text_of.alias("text"), X.approx_tokens(text_of).alias("token_count")
-    ).where(F.col("token_count") >= MIN_WINDOW_TOKENS)
+    return _cut(documents, key, text, lambda raw: D.window_chunks(raw, separator), _WINDOWS)
 
 
 # -- queries -------------------------------------------------------------------------------------------------------------
 
 
-@query()
-def tvf05_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Sections of the long texts (WIN-07, WIN-09, WIN-10, WIN-12, FLT-14, TVF-06)."""
-    return section_chunks(read_table(spark, folder, "parsed_chunks"), "parsed_id", "text", "\n")
-
-
-_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _CLEAN_SQL = r"""regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
   lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x = '' OR NOT (regexp_matches(x, '^\d+$')
   OR regexp_matches(x, '(?i)^(UNCLASSIFIED|PUBLIC LAW|ENROLLED BILL|GPO|U\.S\. GOVERNMENT|www\.|https?://)'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'),
   '^\s+|\s+$', '', 'g')"""
 
 
+_ENDS = r"^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$"
+
+
+def _stripped_sql(c: str) -> str:
+    return f"regexp_replace({c}, '{_ENDS}', '', 'g')"
+
+
+# Parts of each text from heading to heading with their places, the whole text as one part where there is none; paragraphs packed one by one.
+_SECTIONS_SQL = (
+    r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, parsed_id, text AS raw, replace(text, chr(12), chr(10)) AS text FROM parsed_chunks WHERE text IS NOT NULL),
+  c AS (SELECT k, parsed_id, raw, """
+    + _CLEAN_SQL
+    + rf""" AS clean FROM d),
+  m AS (SELECT *, regexp_matches(clean, '(?im){X.SECTION}') AS headed, string_split(regexp_replace(clean, '(?im)({X.SECTION})', chr(1) || '\1', 'g'), chr(1)) AS ps FROM c),
+  p AS (SELECT k, parsed_id, raw, headed, generate_subscripts(ps, 1) AS i, unnest(ps) AS part FROM m),
+  s AS (SELECT *, sum(length(part)) OVER (PARTITION BY k ORDER BY i) - length(part) AS start, {_stripped_sql('part')} AS body, regexp_extract(part, '(?im){X.SECTION}', 1) AS number,
+    regexp_replace({_stripped_sql(f"regexp_extract(part, '(?im){X.SECTION}', 2)")}, '\.+$', '') AS title FROM p),
+  u AS (SELECT *, greatest(1, length(body) // 4) AS tokens FROM s WHERE NOT headed OR (number <> '' AND greatest(1, length(body) // 4) >= 50 AND NOT regexp_matches(title, '{X.SKIPPED_TITLE}'))),
+  e AS (SELECT k, i, len(list_filter(list_transform(range(1, len(string_split(raw, chr(12))) + 1), lambda n: list_sum(list_transform(string_split(raw, chr(12))[:CAST(n AS BIGINT)], lambda x: length(x)))),
+    lambda x: x < start)) AS before, len(string_split(raw, chr(12))) AS pages FROM u),
+  g AS (SELECT k, i, CASE WHEN headed THEN 800 ELSE 500 END AS budget, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_stripped_sql('x')}), lambda x: x <> '') AS xs
+    FROM u WHERE NOT headed OR tokens > 800),
+  w AS (SELECT k, i, 1 AS j, 0 AS pack, greatest(1, length(xs[1]) // 4) AS total FROM g WHERE len(xs) > 0 UNION ALL
+    SELECT w.k, w.i, j + 1, CASE WHEN total + greatest(1, length(xs[j + 1]) // 4) > budget THEN pack + 1 ELSE pack END,
+      CASE WHEN total + greatest(1, length(xs[j + 1]) // 4) > budget THEN greatest(1, length(xs[j + 1]) // 4) ELSE total + greatest(1, length(xs[j + 1]) // 4) END
+    FROM w JOIN g ON g.k = w.k AND g.i = w.i WHERE j < len(xs)),
+  o AS (SELECT w.k, w.i, pack, string_agg(xs[j], chr(10) || chr(10) ORDER BY j) AS text, max(total) AS token_count FROM w JOIN g ON g.k = w.k AND g.i = w.i GROUP BY ALL),
+  a AS (SELECT k, i, pack, NULL::INTEGER AS page_number, text, token_count FROM o UNION ALL
+    SELECT u.k, u.i, 0, CASE WHEN before < pages THEN before + 1 END, body, tokens FROM u JOIN e ON e.k = u.k AND e.i = u.i WHERE headed AND tokens <= 800)
+  SELECT parsed_id, CAST(row_number() OVER (PARTITION BY a.k ORDER BY a.i, pack) - 1 AS INTEGER) AS chunk_index, CAST(page_number AS INTEGER) AS page_number,
+    CASE WHEN headed THEN 'SEC. ' || number END AS section_id, CASE WHEN headed THEN nullif(substr(title, 1, 500), '') END AS section_title, a.text, CAST(token_count AS INTEGER) AS token_count
+  FROM a JOIN u ON u.k = a.k AND u.i = a.i"""
+)
+
+
+@query(_SECTIONS_SQL)
+def tvf05_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of the long texts (WIN-07, WIN-09, WIN-10, WIN-12, FLT-14, TVF-06)."""
+    return section_chunks(read_table(spark, folder, "parsed_chunks"), "parsed_id", "text", "\n")
+
+
 @query(
     r"""WITH c AS (SELECT parsed_id, """
     + _CLEAN_SQL
@@ -212,7 +202,7 @@ def src24_native_detection(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             "parsed_id",
             F.size(pages).alias("n_pages"),
-            (F.length(F.array_join(F.slice(pages, 1, 3), "")) > 200).alias("is_native"),
+            is_native(F.col("text")).alias("is_native"),
             F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")).alias("n_lines"),
         )
     )

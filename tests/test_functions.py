@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fiscalith.functions.documents import cleaned, packs, section_chunks, sliding, window_chunks
 from fiscalith.functions import numeric as N
 from fiscalith.functions import text as X
 from fiscalith.functions.identifiers import canonical_agency, canonical_funding_type, canonical_pe_number, four_digit_year
@@ -75,10 +76,30 @@ def test_headers(spark):
 def test_cleaning_and_windows(spark):
     assert values(spark, X.cleaned_page, ["  a  \n12\nUNCLASSIFIED\n\n\n\nb"]) == ["a\n\nb"]
     assert values(spark, lambda c: X.approx_tokens(c), ["abc", "abcdefgh", ""]) == [1, 2, 1]
-    letters = values(spark, lambda c: X.sliding(F.split(c, " ")), ["a b c d e f g h", "a"])
-    assert letters == [[list("abcd"), list("defg"), list("gh")], [["a"]]]
-    packs = values(spark, lambda c: X.packed(F.transform(F.split(c, " "), lambda n: F.repeat(F.lit("x"), n.cast("int") * 4)), 800), ["300 300 300 900 10"])[0]
-    assert [p.token_count for p in packs] == [600, 300, 900, 10]
+    assert cleaned("  a  \n12\nUNCLASSIFIED\n\n\n\nb") == "a\n\nb"
+    assert list(sliding("abcdefgh")) == ["abcd", "defg", "gh"] and list(sliding("a")) == ["a"] and list(sliding("")) == []
+    assert [n for _, n in packs(["x" * 4 * n for n in (300, 300, 300, 900, 10)], 800)] == [600, 300, 900, 10]
+
+
+def test_headings_one_after_the_other():
+    body = "word " * 60
+    text = f"SEC. 1.\nSEC. 2.\n{body}\n\nsection 3A. Radars\n{body}SEC. 4. Not at the beginning of a line"
+    got = [c.section_id for c in section_chunks(text, "\n")]
+    assert got == ["SEC. 2", "SEC. 3A"]
+
+
+def test_one_very_long_document():
+    import time
+
+    line = "The committee directs the department to report on the state of the program before the end of the year.\n\n"
+    long = line * (50_000_000 // len(line))
+    began = time.perf_counter()
+    chunks = list(section_chunks(long, "\n\n"))
+    assert sum(c.token_count for c in chunks) == long.count("\n\n") * ((len(line) - 2) // 4)
+    headed = list(section_chunks("SEC. 1. Long section\n" + long, "\n\n"))
+    assert len(headed) > 10_000 and {c.section_id for c in headed} == {"SEC. 1"}
+    assert sum(1 for _ in window_chunks(long, "\n\n")) > 100_000
+    assert time.perf_counter() - began < 120  # all that a step takes grows with the length alone
 
 
 def test_growth_rules(spark):
