@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fiscalith.functions.text import BUDGET_ACTIVITIES
+from fiscalith.plans.listing import LISTED_SQL
 from fiscalith.plans.policy import to_elements_sql
 from fiscalith.plans.quality_sql import ORACLES as QUALITY
 from fiscalith.plans.trends import BASE_SQL, _wide_sql
@@ -37,6 +38,7 @@ _ELEMENT = f"""pe_number, CAST(line_no AS VARCHAR) AS line_item_number, trim(coa
 _YEARS = range(2018, 2027)
 
 ORACLES = {
+    "tvf02_listing_of_records": f"WITH {_ROWS}, {LISTED_SQL}",
     "pvt02_unpivot": f"WITH {_ROWS} " + _LONG.format(keep="raw_id, pe_number", fy="TRY_CAST(fiscal_year AS INTEGER)", source="rows"),
     "tvf03_deduplicated": f"""WITH {_ROWS} SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY fiscal_year, component, pe_number, act_code
       ORDER BY (py_amount IS NOT NULL)::INTEGER + (cy_amount IS NOT NULL)::INTEGER + (by_amount IS NOT NULL)::INTEGER DESC, line_no NULLS LAST, raw_id) AS n

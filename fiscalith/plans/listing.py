@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from fiscalith.functions import text as X
 from fiscalith.operators.rejects import R1_RECORD, split_records
 from fiscalith.plans.registry import query
+from fiscalith.plans.sql_terms import words
 from fiscalith.sources.tables import read_table
 
 _AMOUNTS = ["py_amount", "cy_amount", "by_amount"]
@@ -22,10 +23,13 @@ def page_rows(pages: DataFrame, key: list[str], text: str) -> DataFrame:
     before it, once; subtotal labels are swallowed without being added. Everything is an expression, nothing is shuffled.
     """
     lines = F.split(F.col(text), "\n", -1)
-    exploded = pages.select(*key, F.col("__page_no") if "__page_no" in pages.columns else F.lit(0).alias("__page_no"), lines.alias("__lines")).select(
-        *key, "__page_no", "__lines", F.posexplode("__lines").alias("line", "__text")
+    numbered = pages.select(*key, F.col("__page_no") if "__page_no" in pages.columns else F.lit(0).alias("__page_no"), lines.alias("__lines"))
+    # Each line goes on with the one after it, not with its page.
+    paired = F.arrays_zip(F.col("__lines"), F.slice("__lines", F.lit(2), F.size("__lines")).alias("__next"))
+    exploded = numbered.select(*key, "__page_no", F.posexplode(paired).alias("line", "__pair")).select(
+        *key, "__page_no", "line", F.col("__pair.__lines").alias("__text"), F.col("__pair.__next").alias("__following")
     )
-    following = F.get("__lines", F.col("line") + 1)
+    following = F.col("__following")
     row = F.col("__text")
 
     # One pass of the pattern gives all of its groups.
@@ -164,6 +168,38 @@ def listing_files(records: DataFrame) -> DataFrame:
     return files.select("source_file", F.array_join("__sections", "\f").alias("text"))
 
 
+
+def component_sql(c: str) -> str:
+    """The component rule of headers for a text without repeated blanks."""
+    short = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.COMPONENT_ABBREVIATIONS.items())
+    named = " ".join(f"WHEN contains(lower({c}), '{k}') THEN '{v}'" for k, v in X.COMPONENT_NAMES.items())
+    cased = f"array_to_string(list_transform(regexp_extract_all(lower({c}), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || substr(w, 2)), '')"
+    return f"coalesce(CASE lower(trim({c})) {short} END, CASE lower(trim(string_split({c}, ',')[1])) {short} END, CASE {named} END, {cased})"
+
+
+_LABELS = words(X.SUBTOTAL_LABELS)
+_ACTIVITIES = "CASE act WHEN " + " WHEN ".join(f"'{k}' THEN '{v}'" for k, v in X.BUDGET_ACTIVITIES.items()) + " ELSE 'BA' || act END"
+_ONE_BLANK = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+# Where each record comes to lie (pages of a component after those of the components before it, lines below the header and continued
+# titles), and what its amounts are read as without their places.
+LISTED_SQL = rf"""l AS (SELECT r.*, f.source_file, f.file_line, {_ONE_BLANK.format("coalesce(component, '')")} AS comp, {_ONE_BLANK.format("coalesce(pe_title, 'Untitled')")} AS title,
+    lpad(regexp_extract(act_code, '[0-9]+'), 2, '0') AS act FROM rows r JOIN raw_r1_lines f USING (raw_id)),
+  t AS (SELECT *, regexp_extract(title, '^(.{{10,30}}) ([A-Za-z(].+)$', ['a', 'b']) AS x FROM l),
+  u AS (SELECT *, x.b <> '' AND lower(trim(regexp_replace(x.a, '[\d,\s*]+$', ''))) NOT IN ({_LABELS}) AND lower(trim(regexp_replace(x.b, '[\d,\s*]+$', ''))) NOT IN ({_LABELS}) AS goes_on FROM t),
+  n AS (SELECT *, row_number() OVER (PARTITION BY source_file, comp ORDER BY file_line, raw_id) - 1 AS i, count(*) OVER (PARTITION BY source_file, comp) AS size FROM u),
+  s AS (SELECT source_file, comp, sum(any_value((size + 49) // 50)) OVER (PARTITION BY source_file ORDER BY comp) - any_value((size + 49) // 50) AS pages_before FROM n GROUP BY source_file, comp),
+  p AS (SELECT *, pages_before + i // 50 AS page, CASE WHEN i < 50 AND comp <> '' THEN 1 ELSE 0 END
+    + coalesce(sum(1 + goes_on::INTEGER) OVER (PARTITION BY source_file, comp, i // 50 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line,
+    list_filter([round_even(py_amount, 0), round_even(cy_amount, 0), round_even(by_amount, 0)], lambda a: a IS NOT NULL) AS v FROM n JOIN s USING (source_file, comp))
+  SELECT source_file, CASE WHEN comp = '' THEN 'Unknown' ELSE 'Research, Development, Test and Evaluation, ' || comp END AS appropriation,
+    CASE WHEN comp = '' THEN 'Unknown' ELSE {component_sql("regexp_replace(comp, '[.,]+$', '')")} END AS component, CAST(page AS INTEGER) AS page, CAST(line AS INTEGER) AS line,
+    CASE WHEN coalesce(pe_number, '999999999') = '999999999' THEN '' ELSE pe_number END AS pe_number, title AS pe_title,
+    TRY_CAST(coalesce(nullif(regexp_extract(line_no, '[0-9]+'), ''), '0') AS BIGINT) AS line_no, act AS act_code, {_ACTIVITIES} AS budget_activity,
+    coalesce(pe_number, '999999999') = '999999999' AS is_classified, v[1] AS py_amount, CASE WHEN len(v) = 3 THEN v[2] END AS cy_amount, CASE WHEN len(v) >= 2 THEN v[len(v)] END AS by_amount
+  FROM p WHERE regexp_matches(act, '^[0-9][0-9]$') AND lower(trim(regexp_replace(CASE WHEN goes_on THEN x.a ELSE title END, '[\d,\s*]+$', ''))) NOT IN ({_LABELS})"""
+
+
 @query()
 def tvf02_listing_of_records(spark: SparkSession, folder: str) -> DataFrame:
     """Loaded records laid out as listing files again and parsed back, a file each source (TVF-02, TVF-04)."""
@@ -185,11 +221,7 @@ def tvf03_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT id, CASE WHEN lower(trim(a)) IN ('af', 'ar', 'na', 'dw', 'ote', 'sf') THEN
-        CASE lower(trim(a)) WHEN 'af' THEN 'Air Force' WHEN 'ar' THEN 'Army' WHEN 'na' THEN 'Navy' WHEN 'dw' THEN 'Defense-Wide' WHEN 'ote' THEN 'OT&E' ELSE 'Space Force' END
-      WHEN contains(lower(a), 'army') THEN 'Army' WHEN contains(lower(a), 'navy') THEN 'Navy' WHEN contains(lower(a), 'air force') THEN 'Air Force'
-      WHEN contains(lower(a), 'space force') THEN 'Space Force' WHEN contains(lower(a), 'defense-wide') OR contains(lower(a), 'defense wide') OR contains(lower(a), 'defensewide') THEN 'Defense-Wide'
-      WHEN upper(a) = 'OT&E' THEN 'Ot&E' ELSE a END AS component FROM (SELECT id, trim(regexp_replace(agency, '\s+', ' ', 'g')) AS a FROM program_elements)"""
+    rf"""SELECT id, {component_sql('a')} AS component FROM (SELECT id, {_ONE_BLANK.format('agency')} AS a FROM program_elements)"""
 )
 def scs10_components(spark: SparkSession, folder: str) -> DataFrame:
     """Agencies through the header's component rule, which title-cases what it does not know."""
