@@ -14,14 +14,15 @@ from fiscalith.session import cut_lineage, row_bound_holds
 
 #: More than twice any 64-bit number, so that in a sum with one the number multiplied by it decides.
 _STEP = Decimal(2 * 10**19)
+#: A time before all others.
+_NEVER = -(2**61)
 #: Deliveries whose order may be broadcast at most.
 MOST_DELIVERIES = 100_000
 
 
 def content_hash(columns: Sequence[Column]) -> Column:
-    """128 bits over ``columns``; null differs from every value."""
-    parts = [x for c in columns for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))]
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
+    """64 bits over ``columns``; null differs from every value. It is compared with that of the same key in the delivery before alone."""
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))])
 
 
 def latest_per_snapshot(
@@ -31,20 +32,18 @@ def latest_per_snapshot(
 
     Rows of one snapshot and key loaded at the same time are told apart by their hash, so the choice is
     the same on every run. A row without load time comes before all others. Map-side combining leaves one row
-    per key and task before the shuffle, however often a key is repeated.
+    per key and task before the shuffle, however often a key is repeated; time and hash are compared as one number of fixed width, so that it is
+    a hash aggregate.
     """
-    at = F.coalesce(F.unix_micros(F.col(loaded_at).cast("timestamp")), F.lit(-(2**63)))
-    hashes = content_hash(list(values.values()))
-    rows = df.select(F.col(snapshot).alias("__snapshot"), *[c.alias(k) for k, c in keys.items()], at.alias("__at"), hashes.alias("__h")).select(
-        "__snapshot", *keys, "__at", F.col("__h.h1").alias("__h1"), F.col("__h.h2").alias("__h2")
-    )
-    # Time and hash as one number of fixed width, so that this is a hash aggregate.
-    place = (F.col("__at").cast("decimal(19,0)") * F.lit(_STEP) + F.col("__h1").cast("decimal(20,0)")).cast("decimal(38,0)")
-    return (
-        rows.groupBy("__snapshot", *keys)
-        .agg(F.max_by("__h1", place).alias("h1"), F.max_by("__h2", place).alias("h2"))
-        .select("__snapshot", *keys, F.struct("h1", "h2").alias("__hash"))
-    )
+    at = F.coalesce(F.unix_micros(F.col(loaded_at).cast("timestamp")), F.lit(_NEVER))
+    rows = df.select(F.col(snapshot).alias("__snapshot"), *[c.alias(k) for k, c in keys.items()], at.alias("__at"), content_hash(list(values.values())).alias("__h"))
+    place = _scaled(F.col("__at")) + F.col("__h").cast("decimal(20,0)")
+    latest = rows.groupBy("__snapshot", *keys).agg(F.max("__at").alias("__last"), F.max(place.cast("decimal(38,0)")).alias("__place"))
+    return latest.select("__snapshot", *keys, (F.col("__place") - _scaled(F.col("__last"))).cast("bigint").alias("__hash"))
+
+
+def _scaled(at: Column) -> Column:
+    return at.cast("decimal(19,0)") * F.lit(_STEP)
 
 
 def validity_intervals(
