@@ -8,8 +8,16 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More than any 64-bit identifier, so that recency decides before it when both are packed into one number.
-_STEP = Decimal(10**19)
+#: More than twice any 64-bit identifier, so that recency decides before it when both are packed into one number.
+_STEP = Decimal(2 * 10**19)
+#: Cells of completeness and trust that one aggregate holds side by side at most; more are rows of their own first. Both give the same.
+SIDE_BY_SIDE = 8
+#: A time before all others.
+_NEVER = -(2**61)
+
+
+def _scaled(at: Column) -> Column:
+    return at.cast("decimal(19,0)") * F.lit(_STEP)
 
 
 def best_representatives(
@@ -36,7 +44,8 @@ def best_representatives(
     it, by layer and then by the same order.
 
     A group is first aggregated by completeness and trust with map-side combining, into at most ``trust_levels * (len(weighed) + 1)`` rows
-    however hot it is, and these rows then into one: nothing depends on how many ways there are to fill the values. Recency and
+    however hot it is, and these rows then into one (for a single value and few levels at once, side by side): nothing depends on how many ways
+    there are to fill the values. Recency and
     identifier are compared as one number of 128 bits, so for values of fixed width (no strings) both are hash aggregates.
 
     Null keys form groups like other values (filter them beforehand if they should not). Null values are gaps; NaN in a
@@ -55,36 +64,55 @@ def best_representatives(
         *[F.col(k).alias(name) for k, name in zip(keys, key_names)],
         level.alias("trust"),
         full.alias("full"),
-        F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(-(2**63))).alias("at"),
+        F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(_NEVER)).alias("at"),
         F.col(identifier).alias("id"),
         *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
     )
-    packed = F.col("at").cast("decimal(19,0)") * F.lit(_STEP) - F.col("id").cast("decimal(20,0)")
-    rows = rows.withColumn("place", packed.cast("decimal(38,0)"))
+    rows = rows.withColumn("place", (_scaled(F.col("at")) - F.col("id").cast("decimal(20,0)")).cast("decimal(38,0)"))
     kinds = [rows.schema[f"v{i}"].dataType.simpleString() for i in range(n)]
     id_kind = rows.schema["id"].dataType.simpleString()
-    latest = []
-    for i in range(n):  # of each value the latest record that has it
-        place = F.when(F.col(f"v{i}").isNotNull(), F.col("place"))
-        latest += [F.max_by("id", place).alias(f"i{i}"), F.max(F.when(F.col(f"v{i}").isNotNull(), F.col("at"))).alias(f"a{i}"), F.max_by(f"v{i}", place).alias(f"w{i}")]
-    cells = rows.groupBy(*key_names, "full", "trust").agg(
-        F.count(F.lit(1)).alias("size"), F.max("at").alias("at"), F.max_by("id", "place").alias("id"), *latest
-    )
-
     record = f"struct<full:int,trust:int,at:bigint,neg:{id_kind},{','.join(f'v{i}:{k}' for i, k in enumerate(kinds))}>"
 
-    def candidate(at: Column, who: Column) -> Column:
-        """A record and those of its values that it is the latest of its cell to have."""
-        own = [F.when(F.col(f"i{i}") == who, F.col(f"w{i}")).alias(f"v{i}") for i in range(n)]
-        return F.when(who.isNotNull(), F.struct("full", "trust", at.alias("at"), (-who).alias("neg"), *own).cast(record))
-
-    of_cell = F.array_distinct(F.array_compact(F.array(candidate(F.col("at"), F.col("id")), *[candidate(F.col(f"a{i}"), F.col(f"i{i}")) for i in range(n)])))
-    groups = (
-        cells.select(*key_names, "size", of_cell.alias("of_cell"))
-        .groupBy(*key_names)
-        .agg(F.sum("size").alias("size"), F.flatten(F.collect_list("of_cell")).alias("all"))
-        .where(F.col("size") >= least_size)
-    )
+    def identifier_of(at: Column, place: Column) -> Column:
+        return (_scaled(at) - place).cast(id_kind)
+
+    def candidate(full: Column, trust: Column, at: Column, who: Column, own: list[Column]) -> Column:
+        return F.when(
+            who.isNotNull(), F.struct(full.alias("full"), trust.alias("trust"), at.alias("at"), (-who).alias("neg"), *[v.alias(f"v{i}") for i, v in enumerate(own)]).cast(record)
+        )
+
+    if n == 1 and counted == list(values) and 2 * trust_levels <= SIDE_BY_SIDE:
+        # Completeness says who has the one value, so each cell has one candidate; the cells stand side by side in one aggregate.
+        cells = [(c, t, c // trust_levels) for c, t in ((c, c % trust_levels) for c in range(2 * trust_levels))]
+        merits = []
+        for c, t, there in cells:
+            inside = (F.col("trust") == t) & (F.col("full") == there)
+            merits += [F.max(F.when(inside, F.col("at"))).alias(f"a{c}"), F.max(F.when(inside, F.col("place"))).alias(f"p{c}")]
+            merits += [F.max_by("v0", F.when(inside, F.col("place"))).alias(f"w{c}")] if there else []
+        groups = rows.groupBy(*key_names).agg(F.count(F.lit(1)).alias("size"), *merits).where(F.col("size") >= least_size)
+        one = [
+            candidate(F.lit(there), F.lit(t), F.col(f"a{c}"), identifier_of(F.col(f"a{c}"), F.col(f"p{c}")), [F.col(f"w{c}") if there else F.lit(None)])
+            for c, t, there in cells
+        ]
+        groups = groups.select(*key_names, "size", F.array_compact(F.array(*one)).alias("all"))
+    else:
+        latest = []
+        for i in range(n):  # of each value the latest record that has it
+            there = F.col(f"v{i}").isNotNull()
+            place = F.when(there, F.col("place"))
+            latest += [F.max(F.when(there, F.col("at"))).alias(f"a{i}"), F.max(place).alias(f"p{i}"), F.max_by(f"v{i}", place).alias(f"w{i}")]
+        cells = rows.groupBy(*key_names, "full", "trust").agg(F.count(F.lit(1)).alias("size"), F.max("at").alias("at"), F.max("place").alias("place"), *latest)
+        who = {f"i{i}": identifier_of(F.col(f"a{i}"), F.col(f"p{i}")) for i in range(n)}
+        cells = cells.withColumns({"id": identifier_of(F.col("at"), F.col("place"))} | who)
+        # Of a record the values that it is the latest of its cell to have.
+        own = lambda who: [F.when(F.col(f"i{i}") == who, F.col(f"w{i}")) for i in range(n)]
+        found = [candidate(F.col("full"), F.col("trust"), at, who, own(who)) for at, who in [(F.col("at"), F.col("id")), *[(F.col(f"a{i}"), F.col(f"i{i}")) for i in range(n)]]]
+        groups = (
+            cells.select(*key_names, "size", F.array_distinct(F.array_compact(F.array(*found))).alias("of_cell"))
+            .groupBy(*key_names)
+            .agg(F.sum("size").alias("size"), F.flatten(F.collect_list("of_cell")).alias("all"))
+            .where(F.col("size") >= least_size)
+        )
 
     def dominates(a: Column, b: Column) -> Column:
         no_worse = (a["full"] >= b["full"]) & (a["trust"] >= b["trust"]) & (a["at"] >= b["at"])

@@ -97,6 +97,17 @@ def test_many_values(spark):
             assert r[c] == source[1 + j] is not None and (best[1 + j] is None or source is best)
 
 
+def test_both_plans_agree(spark, monkeypatch):
+    from fiscalith.llm import survivor
+
+    rng = random.Random(11)
+    rows = [(f"k{rng.randint(0, 40)}", rng.choice([None, 1.0, 2.0]), None, rng.choice([None, T0, T0 + dt.timedelta(rng.randint(0, 3))]), rng.randint(0, 3), i) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    side = sorted(map(tuple, best_representatives(df, ["k"], ["a"], "at", F.col("trust"), 4, "id").collect()))
+    monkeypatch.setattr(survivor, "SIDE_BY_SIDE", 0)
+    assert side and side == sorted(map(tuple, best_representatives(df, ["k"], ["a"], "at", F.col("trust"), 4, "id").collect()))
+
+
 def test_hash_aggregates(spark):
     df = spark.createDataFrame([], "k int, a double, b int, at timestamp_ntz, trust int, id bigint")
     plan = best_representatives(df, ["k"], ["a", "b"], "at", F.col("trust"), 2, "id")._jdf.queryExecution().executedPlan().toString()
