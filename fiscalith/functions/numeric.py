@@ -66,11 +66,6 @@ def fiscal_year_of(d: Column) -> Column:
     return F.year(d) + (F.month(d) >= 10).cast("int")
 
 
-def fiscal_year_window(fiscal_year: Column) -> tuple[Column, Column]:
-    """First and last day of a fiscal year."""
-    return F.make_date(fiscal_year - 1, F.lit(10), F.lit(1)), F.make_date(fiscal_year, F.lit(9), F.lit(30))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays in double precision; null if a norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -79,8 +74,3 @@ def cosine(a: Column, b: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
     return F.try_divide(dot, norm(a) * norm(b))
-
-
-def l2_normalized(v: Column) -> Column:
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(size > 0, F.transform(v, lambda x: (x.cast("double") / size).cast("float"))).otherwise(v)

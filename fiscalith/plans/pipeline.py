@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from fiscalith.plans.linking import link_two_stage
 from fiscalith.plans.listing import deduplicated, file_rows
 from fiscalith.plans.trends import agency_trends, facts, funding_gaps, elements, pe_trends
 from fiscalith.sources.discovery import file_name, fiscal_year_of_name, year_of_name
-from fiscalith.sources.pages import extract_with_fallback
+from fiscalith.sources.pages import TEXT, extract, extract_with_fallback, read_binary
 from fiscalith.session import cut_lineage
 from fiscalith.sources.sinks import save_by, write_workbook
 from fiscalith.sources.tables import table_exists
@@ -73,6 +73,16 @@ def parse_policies(
     return fresh if existing is None else replace_documents(existing, fresh, "filename", replace)
 
 
+def read_policies(spark: SparkSession, folders: Mapping[str, str], extractor: Callable[[bytes], str] = TEXT, pattern: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
+    """Texts of the policy files in the folder of each type, as ``parse_policies`` takes them, and the files that could not be read."""
+    found = None
+    for doc_type, folder in folders.items():
+        one = extract(read_binary(spark, folder, pattern), extractor).withColumn("doc_type", F.lit(doc_type))
+        found = one if found is None else found.unionByName(one)
+    found = cut_lineage(found.withColumn("filename", file_name(F.col("path"))))
+    return found.where("error IS NULL").select("filename", "doc_type", "text"), found.where("error IS NOT NULL").select("path", "error")
+
+
 def load_star(rows: DataFrame, out: str) -> dict[str, DataFrame]:
     """Parsed rows put to the star schema in ``out``, which is made if it is not there; running it again changes nothing.
 

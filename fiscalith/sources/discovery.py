@@ -31,8 +31,6 @@ EXHIBITS_IN_URL = {
     "om": r"[-_](o1|o-1|om|o&m)[-_.]",
 }
 BUDGET_PAGE = "https://comptroller.defense.gov/Budget-Materials/Budget{year}/"
-# Agency codes of the award service.
-AGENCY_CODES = {"dod": "097", "army": "021", "navy": "017", "af": "057", "dia": "202", "nga": "289", "nro": "012"}
 # Strategy documents by year.
 STRATEGY_URLS = [
     ("NDS", 2022, "https://media.defense.gov/2022/Oct/27/2003103845/-1/-1/1/2022-NATIONAL-DEFENSE-STRATEGY-NPR-MDR.PDF"),
@@ -203,7 +201,12 @@ def canonical_names(names: Sequence[str]) -> list[str]:
 
 
 def scan_folder(
-    spark: SparkSession, folder: str, fiscal_years: Sequence[int] = (), exhibit_types: Sequence[str] = (), pattern: str = "*.{pdf,zip}"
+    spark: SparkSession,
+    folder: str,
+    fiscal_years: Sequence[int] = (),
+    exhibit_types: Sequence[str] = (),
+    pattern: str = "*.{pdf,zip}",
+    components: Sequence[str] = (),
 ) -> DataFrame:
     """The manifest of a directory tree: path, name, size and what the path says. Contents are not read."""
     files = (
@@ -222,6 +225,8 @@ def scan_folder(
         out = out.where(F.col("fiscal_year").isin(*fiscal_years))
     if exhibit_types:
         out = out.where(F.col("exhibit_type").isin(*exhibit_types))
+    if components:
+        out = out.where(F.col("component").isin(*components))
     return out
 
 
@@ -229,8 +234,3 @@ def read_page_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     """Extracted texts of documents, whole: path, filename, text with pages divided by form feeds."""
     rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest of files as JSON."""
-    return spark.read.option("multiLine", "true").json(path)

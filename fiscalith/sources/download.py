@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from fiscalith.session import ship_package
 
 OUTCOME = "path string, url string, attempt int, status string, size_bytes bigint"
+#: What a browser says of itself.
+HEADERS = {"User-Agent": "Mozilla/5.0", "Accept": "text/html,application/xhtml+xml,application/pdf;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9"}
+#: Bytes read at a time.
+PIECE = 1 << 20
 #: Answers after which a link is given up at once.
 GIVEN_UP = frozenset([403, 404])
 
@@ -33,16 +37,25 @@ def fetch(
     status = "failed"
     for attempt in range(attempts):
         try:
-            with opener(urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=120) as answer:
-                body = answer.read()
+            with opener(urllib.request.Request(url, headers=HEADERS), timeout=120) as answer:
+                body = answer.read(PIECE)
                 if not allow_html and looks_like_html(answer.headers.get("Content-Type"), body):
                     return "html", None
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(body)
+                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                part = f"{path}.{os.getpid()}.part"
+                size = 0
+                with open(part, "wb") as f:
+                    while body:
+                        f.write(body)
+                        size += len(body)
+                        body = answer.read(PIECE)
+            announced = answer.headers.get("Content-Length")
+            if announced is not None and int(announced) != size:  # it broke off
+                os.remove(part)
+                status = "failed"
+                continue
             os.replace(part, path)
-            return "saved", len(body)
+            return "saved", size
         except urllib.error.HTTPError as fault:
             status = f"http {fault.code}"
             if fault.code in GIVEN_UP:

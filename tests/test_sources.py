@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from fiscalith.sources import awards, sinks
@@ -78,11 +79,12 @@ def test_stream_windows(spark, tmp_path):
 
 
 class _Answer:
-    def __init__(self, body, kind="application/pdf"):
-        self.body, self.headers = body, {"Content-Type": kind}
+    def __init__(self, body, kind="application/pdf", length=None):
+        self.body, self.headers = body, {"Content-Type": kind, **({"Content-Length": str(length)} if length else {})}
 
-    def read(self):
-        return self.body
+    def read(self, size):
+        part, self.body = self.body[:size], self.body[size:]
+        return part
 
     def __enter__(self):
         return self
@@ -112,6 +114,9 @@ def test_fetch_rules(tmp_path):
     assert fetch("http://h/page", path, pause=0, opener=opener) == ("html", None)
     assert fetch("http://h/good", path, pause=0, opener=opener) == ("saved", 4)
     assert fetch("http://h/good", path, pause=0, opener=opener) == ("present", 4) and len(asked) == 6
+    # An answer that breaks off is no document.
+    assert fetch("http://h/cut", f"{tmp_path}/d/b.pdf", pause=0, opener=lambda r, timeout: _Answer(b"%PDF", length=9)) == ("failed", None)
+    assert [f.name for f in (tmp_path / "d").iterdir()] == ["a.pdf"]
 
 
 def test_download_table(spark, tmp_path):
@@ -216,3 +221,111 @@ def test_report(spark, tmp_path):
     executive_report(spark, "/root/testdata/sf0.001", ["Radio", ""], 2020, 2025, f"{tmp_path}/r.xlsx")
     with zipfile.ZipFile(f"{tmp_path}/r.xlsx") as z:
         assert len([n for n in z.namelist() if "sheet" in n]) == 3
+
+
+def test_budget_run(spark, tmp_path):
+    import http.server
+    import threading
+
+    from fiscalith.sources.remote import budget_documents
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            if "2024" in self.path and self.path.endswith("/"):
+                body = b"<a href='army_r2.pdf'>a</a><a href='navy_p40.pdf'>n</a><a href='af-r2.pdf'>f</a><a href='x.html'>x</a>"
+            elif self.path.endswith(".pdf") or self.path == "/":
+                body = b"%PDF-1" * 400_000
+            else:
+                self.send_error(404)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    address = base + "/Budget{year}/"
+    manifest, none, unread = budget_documents(spark, [2024, 2025], str(tmp_path), discover_only=True, address=address, home=base + "/")
+    assert none is None and [(r.fiscal_year, r.error.split(":")[0]) for r in unread.collect()] == [(2025, "HTTPError")]
+    assert {(r.fiscal_year, r.component, r.exhibit_type) for r in manifest.collect()} == {(2024, "army", "rdtee"), (2024, "navy", "procurement"), (2024, "af", "rdtee")}
+    assert "/" in asked and not [p for p in asked if p.endswith(".pdf")]
+    _, outcome, _ = budget_documents(spark, [2024], str(tmp_path), ["rdtee"], ["army"], address=address)
+    server.shutdown()
+    assert [(r.path, r.status, r.size_bytes) for r in outcome.collect()] == [(f"{tmp_path}/2024/rdtee/army_r2.pdf", "saved", 2_400_000)]
+    from fiscalith.sources.discovery import scan_folder
+
+    scanned = scan_folder(spark, str(tmp_path), components=["army"]).collect()
+    assert [(r.fiscal_year, r.exhibit_type, r.component) for r in scanned] == [(2024, "rdtee", "army")]
+    assert scan_folder(spark, str(tmp_path), components=["navy"]).count() == 0
+
+
+def test_policy_folders(spark, tmp_path):
+    from fiscalith.plans.pipeline import parse_policies, read_policies
+    from fiscalith.sources.remote import policy_manifest
+
+    para = "word " * 60
+    for name, text in (("NDAA/NDAA_2024.pdf", f"SEC. 1. Radios.\n{para}"), ("NDS/NDS_2022.pdf", para), ("NDS/NDS_2018.pdf", "broken")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+
+    def read(content):
+        if content == b"broken":
+            raise ValueError("no text")
+        return content.decode()
+
+    texts, bad = read_policies(spark, {t: f"{tmp_path}/{t}" for t in ("NDAA", "NDS")}, read)
+    assert sorted((r.filename, r.doc_type) for r in texts.collect()) == [("NDAA_2024.pdf", "NDAA"), ("NDS_2022.pdf", "NDS")]
+    assert [r.error for r in bad.collect()] == ["ValueError: no text"]
+    assert sorted((r.filename, r.section_id, r.doc_year) for r in parse_policies(texts).collect()) == [("NDAA_2024.pdf", "SEC. 1", 2024), ("NDS_2022.pdf", None, 2022)]
+    got = {(r.doc_type, r.year, r.size_kb) for r in policy_manifest(spark, str(tmp_path)).collect()}
+    assert got == {("NDAA", 2024, 0), ("NDS", 2022, 0), ("NDS", 2018, 0)}
+
+
+def test_extractors_in_turn():
+    from fiscalith.sources.pages import first_that_works
+
+    def broken(content):
+        raise RuntimeError("not installed")
+
+    assert first_that_works(broken, bytes.decode)(b"x") == "x"
+    with pytest.raises(RuntimeError):
+        first_that_works(bytes.decode, broken)(b"\xff")
+
+
+def test_refused_levels_are_marked(spark):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if body["type"] == "object_class":
+                self.send_error(422)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": [{"name": body["type"]}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = awards.read_spending(spark, ["097"], [2024], url=f"http://127.0.0.1:{server.server_port}").collect()
+    server.shutdown()
+    assert {(r.level, r.record is None, r.error) for r in rows} == {("federal_account", False, None), ("program_activity", False, None), ("object_class", True, "http 422")}
+
+
+def test_skipped_pages_and_missing_subpackage(spark):
+    from fiscalith.plans.listing import SAMPLE_PAGE, file_rows
+
+    other = SAMPLE_PAGE.replace("Research, Development, Test and Evaluation, Army", "Defense Health Program").replace("0601102A", "0601199A")
+    rows = file_rows(spark.createDataFrame([("f", other + "\f" + SAMPLE_PAGE)], "f string, t string"), "f", "t").collect()
+    assert "0601199A" not in {r.pe_number for r in rows} and {r.page for r in rows} == {1} and len(rows) == 4
