@@ -191,3 +191,40 @@ def test_bounds_and_the_best_of_many():
                     c.best(getattr(c, bound)(q), lambda t: scorer(q, t), cutoff, keep, heap)
                 want = sorted(((s, -i) for i, t in zip(ids, texts) if (s := scorer(q, t)) >= cutoff), reverse=True)[:keep]
                 assert sorted(heap, reverse=True) == want, (scorer, q, cutoff)
+
+
+def test_a_score_equal_to_the_least_is_exact():
+    for a, b in (("radar", "the radar set"), ("dome sonar", "big sonar dome of xy"), ("abc", "xx abd xx"), ("glide body", "glidebody glidebody")):
+        assert weighted_ratio(a, b, least=weighted_ratio(a, b)) == weighted_ratio(a, b)
+
+
+def test_equal_texts_are_compared_once_and_sure_scores_spare_comparisons():
+    import random
+
+    from fiscalith.functions.similarity import Candidates
+
+    rng = random.Random(3)
+    words = "radar sonar system systems glide body missile dome of gen é naval".split()
+    texts = sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(900)})
+    free = list(range(3 * len(texts)))
+    rng.shuffle(free)
+    ids = [sorted(free.pop() for _ in range(rng.randint(1, 3))) for _ in texts]
+    for q in ("radar system", "glide body missile", "missle", "sonar dome of gen", "qqq"):
+        for scorer, limits, told in ((weighted_ratio, "weighted_limits", True), (token_set_ratio, "set_limits", False)):
+            exact = {t: scorer(q, t) for t in texts}
+            want = sorted(((s, -i) for at, t in zip(ids, texts) if (s := exact[t]) >= 55 for i in at), reverse=True)[:15]
+            calls, heap = [], []
+
+            def score(t, *least):
+                calls.append(t)
+                return scorer(q, t, *least)
+
+            for a, b in ((0, 2), (2, len(texts))):
+                c = Candidates(ids[a:b], texts[a:b])
+                sure, most = getattr(c, limits)(q)
+                assert all(lo - 1e-9 <= exact[t] <= hi + 1e-9 for t, lo, hi in zip(c.texts, sure, most))
+                c.best(most, score, 55.0, 15, heap, told, sure)
+            assert sorted(heap, reverse=True) == want, (scorer, q)
+            assert len(calls) == len(set(calls))
+            if q == "radar system":
+                assert len(calls) < len(texts) / 3

@@ -180,6 +180,38 @@ def test_fuzzy_blocks_lose_nothing(spark):
     assert whole and whole == sorted(map(tuple, fuzzy_matches(q, elements(spark), block=1).collect()))
 
 
+def test_fuzzy_over_repeated_titles_is_as_by_brute_force(spark, monkeypatch):
+    from fiscalith.functions.similarity import token_set_ratio, weighted_ratio
+    from fiscalith.plans import linking
+
+    rng = random.Random(5)
+    words = "radar sonar glide body missile dome naval laser bus kit".split()
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)]
+    rows = [(i, "0604114A", rng.choice(names) if i % 3 else names[0], "Army", None, i % 10 == 9) for i in range(1, 400)]
+    titles = spark.createDataFrame(rows, ELEMENTS)
+    asked = sorted({*names[:8], "sonnar dome", "radarr kit glide"})
+    want = set()
+    for q in asked:
+        legs = []
+        for scorer in (weighted_ratio, token_set_ratio):
+            scored = [(-scorer(q, r[2]), r[0]) for r in rows if not r[5]]
+            legs.append(sorted(x for x in scored if x[0] <= -55)[:15])
+        places = {}
+        for leg, found in enumerate(legs):
+            for n, (s, i) in enumerate(found):
+                places.setdefault(i, []).append((s, leg, n))
+        order = sorted((min(at)[0], min((leg, n) for _, leg, n in at), i, min(at)[1]) for i, at in places.items())
+        want |= {(q, i, ("normalized", "original")[leg], n + 1) for n, (_, _, i, leg) in enumerate(order[:5])}
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    for task_rows, task_queries, tile in ((1 << 16, 16, 1 << 15), (100, 3, 7)):
+        monkeypatch.setattr(linking, "TASK_ROWS", task_rows)
+        monkeypatch.setattr(linking, "TASK_QUERIES", task_queries)
+        monkeypatch.setattr(linking, "TILE_TEXTS", tile)
+        for block in (4096, 4):
+            got = {(r.query, r.pe_id, r.match_on, r["rank"]) for r in fuzzy_matches(queries, titles, block=block).collect()}
+            assert got == want
+
+
 def test_queries_of_stop_words_only(spark):
     titles = spark.createDataFrame(
         [(1, "0604114A", "Advanced Technology Development", "Army", None, False), (2, "0604115A", "Hypersonic Glide Body", "Navy", None, False)], ELEMENTS
