@@ -168,6 +168,20 @@ def test_waterfall(spark):
     assert (none.rank, none.program_name, none.score, none.pe_id) == (0, "MANUAL_REVIEW", 0.0, None)
 
 
+def test_linking_takes_the_acronyms_from_titles_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        read.add(1)
+        return name
+
+    once = elements(spark).withColumn("program_name", counted.asNondeterministic()("program_name"))
+    rows = link_queries(spark.createDataFrame([("LTAMDS",), ("NATO",)], "query string"), once).collect()
+    assert {(r.query, r.match_stage, r.pe_id) for r in rows} >= {("LTAMDS", "ACRONYM", 1)}
+    assert read.value <= 5 * 5  # index, spelling, vectors, names of what was found
+
+
 def test_two_stage(spark):
     rows = link_two_stage(spark.createDataFrame([("Hypersonic Glide Body Prototype",), ("",), ("qqq",)], "query string"), elements(spark)).collect()
     got = {r.query: (r.match_strategy, r.matched_name) for r in rows}
